@@ -58,20 +58,76 @@ def _material(value: Column) -> Column:
     )
 
 
-def sensitive_categories(text: Column) -> Column:
-    """Confirmed categories in a fixed order; empty array when there are none."""
-    compact = F.regexp_replace(text, r"(?U)[\s\\]+", "")
+# Literals (lower case) without which the pattern of that name cannot match.
+REQUIRED_LITERALS = {
+    "private-key": ("-----begin",),
+    "aws-access-key": ("akia", "asia"),
+    "github-token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
+    "api-token": ("sk",),
+    "bearer-token": ("bearer",),
+    "assigned-secret": ("key", "token", "secret", "pass"),
+    "hedged": ("credential", "key", "token", "secret", "pass"),
+}
+# Unicode white space plus the backslash, removed before the compact re-scan.
+COMPACT_REMOVED = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\\"
+)
+
+
+def _mentions(lowered: Column, name: str) -> Column:
+    """Cheap literal test that spares most texts the regular expression."""
+    found = F.lit(False)
+    for literal in REQUIRED_LITERALS[name]:
+        found = found | F.contains(lowered, F.lit(literal))
+    return found
+
+
+def _bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _categories(texts: Column) -> Column:
+    text, lowered, compact, compact_lowered = (texts[name] for name in ("text", "lowered", "compact", "compact_lowered"))
     values = F.regexp_extract_all(text, F.lit("(?iU)" + SECRET_KEY_PATTERN + SECRET_VALUE_PATTERN), F.lit(1))
-    flags = [F.when(text.rlike(pattern), F.lit(name)) for name, pattern in CONFIRMED_PATTERNS.items()]
-    flags.append(F.when(F.exists(values, _material), F.lit("assigned-secret")))
-    flags += [F.when(compact.rlike(pattern), F.lit(name)) for name, pattern in COMPACT_PATTERNS.items()]
+    flags = [
+        F.when(_mentions(lowered, name) & text.rlike(pattern), F.lit(name))
+        for name, pattern in CONFIRMED_PATTERNS.items()
+    ]
+    assigned = _mentions(lowered, "assigned-secret") & (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")))
+    flags.append(F.when(assigned & F.exists(values, _material), F.lit("assigned-secret")))
+    flags += [
+        F.when(_mentions(compact_lowered, name) & compact.rlike(pattern), F.lit(name))
+        for name, pattern in COMPACT_PATTERNS.items()
+    ]
     return F.array_distinct(F.array_compact(F.array(*flags)))
 
 
+def sensitive_categories(text: Column) -> Column:
+    """Confirmed categories in a fixed order; empty array when there are none."""
+    pair = F.struct(text.alias("text"), F.translate(text, COMPACT_REMOVED, "").alias("compact"))
+    return _bind(
+        pair,
+        lambda p: _bind(
+            F.struct(
+                p["text"].alias("text"),
+                F.lower(p["text"]).alias("lowered"),
+                p["compact"].alias("compact"),
+                F.lower(p["compact"]).alias("compact_lowered"),
+            ),
+            _categories,
+        ),
+    )
+
+
 def has_hedged_language(text: Column) -> Column:
     """Speculative credential wording that is not a placeholder."""
-    match = F.regexp_extract(text, UNCERTAIN_PATTERN, 0)
-    return (match != "") & ~match.rlike(PLACEHOLDER_PATTERN)
+    match = _bind(
+        F.lower(text),
+        lambda lowered: F.when(_mentions(lowered, "hedged"), F.regexp_extract(text, UNCERTAIN_PATTERN, 0)),
+    )
+    return _bind(match, lambda found: F.coalesce((found != "") & ~found.rlike(PLACEHOLDER_PATTERN), F.lit(False)))
 
 
 def is_sensitive(text: Column) -> Column:
