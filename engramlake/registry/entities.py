@@ -407,23 +407,46 @@ def _neighborhood(t):
     )
 
 
-# One recall per customer: its orders are the hits.
-CUSTOMER_HITS = """SELECT DISTINCT concat('c', CAST(o_custkey AS STRING)) AS query_id, concat('region-', CAST(o_custkey % 3 AS STRING)) AS region_id, concat('m', CAST(o_orderkey AS STRING)) AS memory_id, o_orderkey AS rank FROM {orders}"""
+# One recall per customer group: its orders are the hits, more than a view may be seeded with.
+CUSTOMER_HITS = """SELECT DISTINCT concat('c', CAST(o_custkey % 25 AS STRING)) AS query_id, concat('region-', CAST(o_custkey % 3 AS STRING)) AS region_id, concat('m', CAST(o_orderkey AS STRING)) AS memory_id, o_orderkey AS rank FROM {orders}"""
+BOUNDED_HITS = """SELECT query_id, region_id, memory_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, region_id ORDER BY rank, memory_id) AS n FROM {hits}) b WHERE n <= 200"""
 HIT_SEEDS = """SELECT query_id, region_id, entity_id, seed_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, region_id ORDER BY entity_type, normalized_name, entity_id) AS seed_rank FROM (
- SELECT DISTINCT h.query_id, h.region_id, m.entity_id, m.entity_type, m.normalized_name FROM {hits} h JOIN {me} m ON m.region_id = h.region_id AND m.memory_id = h.memory_id WHERE m.lifecycle = 'active') d) r WHERE seed_rank <= 200"""
-HIT_MAP = """SELECT h.query_id, h.region_id, h.memory_id, count(m.entity_id) AS n_any, count(n.entity_id) AS n_kept FROM {hits} h LEFT JOIN {me} m ON m.region_id = h.region_id AND m.memory_id = h.memory_id AND m.lifecycle = 'active'
+ SELECT DISTINCT h.query_id, h.region_id, m.entity_id, m.entity_type, m.normalized_name FROM {bounded_hits} h JOIN {me} m ON m.region_id = h.region_id AND m.memory_id = h.memory_id WHERE m.lifecycle = 'active') d) r WHERE seed_rank <= 200"""
+HIT_MAP = """SELECT h.query_id, h.region_id, h.memory_id, CASE WHEN max(b.memory_id) IS NULL THEN 'truncated' WHEN count(n.entity_id) > 0 THEN 'mapped' WHEN count(m.entity_id) > 0 THEN 'truncated' ELSE 'unmapped' END AS mapping
+ FROM {hits} h LEFT JOIN {bounded_hits} b ON b.query_id = h.query_id AND b.region_id = h.region_id AND b.memory_id = h.memory_id
+ LEFT JOIN {me} m ON m.region_id = b.region_id AND m.memory_id = b.memory_id AND m.lifecycle = 'active'
  LEFT JOIN {view_nodes} n ON n.query_id = h.query_id AND n.region_id = h.region_id AND n.entity_id = m.entity_id GROUP BY 1, 2, 3"""
 EDGE_STATE = """SELECT e.query_id, e.region_id, e.relation_id, CASE WHEN EXISTS (SELECT 1 FROM {hits} h JOIN {mr} m ON m.region_id = h.region_id AND m.memory_id = h.memory_id WHERE m.lifecycle = 'active' AND h.query_id = e.query_id AND m.region_id = e.region_id AND m.relation_id = e.relation_id)
  OR (EXISTS (SELECT 1 FROM {view_nodes} n WHERE n.query_id = e.query_id AND n.region_id = e.region_id AND n.entity_id = e.source_entity_id AND n.seed_rank IS NOT NULL)
  AND EXISTS (SELECT 1 FROM {view_nodes} n WHERE n.query_id = e.query_id AND n.region_id = e.region_id AND n.entity_id = e.target_entity_id AND n.seed_rank IS NOT NULL)) THEN 'direct' ELSE 'query_expansion' END AS state FROM {view_edges} e WHERE position <= 400"""
 
 
+HIT_VIEW = VIEW | {
+    "hits": CUSTOMER_HITS, "bounded_hits": BOUNDED_HITS, "seeds": HIT_SEEDS, "hit_map": HIT_MAP, "edge_state": EDGE_STATE
+}
+HIT_REPORT = """SELECT m.query_id, m.region_id, count(*) FILTER (WHERE mapping = 'mapped') AS mapped_memories, count(*) FILTER (WHERE mapping = 'unmapped') AS unmapped_memories,
+ count(*) FILTER (WHERE mapping = 'truncated') AS truncated_memories, count(*) AS n, coalesce(max(o.n), 0) > 200 OR coalesce(max(v.n), 0) > 400 AS cut FROM {hit_map} m
+ LEFT JOIN (SELECT query_id, region_id, count(*) AS n FROM {ordered} GROUP BY 1, 2) o ON o.query_id = m.query_id AND o.region_id = m.region_id
+ LEFT JOIN (SELECT query_id, region_id, count(*) AS n FROM {view_edges} GROUP BY 1, 2) v ON v.query_id = m.query_id AND v.region_id = m.region_id GROUP BY 1, 2"""
+
+
+@query(
+    "ent13_subgraph_report",
+    """SELECT query_id, region_id, mapped_memories, unmapped_memories, truncated_memories, cut OR truncated_memories > 0 AS truncated,
+ concat_ws(', ', CASE WHEN n > 200 THEN 'direct_memory_seed_limit' END, CASE WHEN cut THEN 'graph_node_or_edge_limit' END, CASE WHEN truncated_memories > 0 THEN 'node_limit' END) AS truncation_reason,
+ mapped_memories = 0 AND truncated_memories = 0 AS no_mapped_entities FROM {hit_report}""",
+    **(HIT_VIEW | {"hit_report": HIT_REPORT}),
+)
+def _subgraph_report(t):
+    return eg.subgraph_report(*eg.query_subgraph(graph_of(t), t.sql(CUSTOMER_HITS, "orders")))
+
+
 @query(
     "ent13_query_subgraph",
     """SELECT 'node' AS kind, query_id, region_id, entity_id AS row_key, CASE WHEN seed_rank IS NULL THEN 'query_expansion' ELSE 'direct' END AS state FROM {view_nodes}
  UNION ALL SELECT 'edge', query_id, region_id, relation_id, state FROM {edge_state}
- UNION ALL SELECT 'hit', query_id, region_id, memory_id, CASE WHEN n_kept > 0 THEN 'mapped' WHEN n_any > 0 THEN 'truncated' ELSE 'unmapped' END FROM {hit_map}""",
-    **(VIEW | {"hits": CUSTOMER_HITS, "seeds": HIT_SEEDS, "hit_map": HIT_MAP, "edge_state": EDGE_STATE}),
+ UNION ALL SELECT 'hit', query_id, region_id, memory_id, mapping FROM {hit_map}""",
+    **HIT_VIEW,
 )
 def _query_subgraph(t):
     view, mapping = eg.query_subgraph(graph_of(t), t.sql(CUSTOMER_HITS, "orders"))
