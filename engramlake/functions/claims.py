@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from engramlake.functions.expr import bind
+
 # Wordings of one value, and values that exclude each other within one dimension.
 EQUIVALENT_VALUES = {
     "dark mode": "dark",
@@ -38,8 +40,9 @@ def _lookup(table: dict[str, str]) -> Column:
 
 def canonical_value(value: Column) -> Column:
     """The value itself or the wording it is equivalent to."""
-    plain = plain_claim(value)
-    return F.coalesce(F.try_element_at(_lookup(EQUIVALENT_VALUES), plain), plain)
+    return bind(
+        plain_claim(value), lambda plain: F.coalesce(F.try_element_at(_lookup(EQUIVALENT_VALUES), plain), plain)
+    )
 
 
 def exclusive_dimension(value: Column) -> Column:

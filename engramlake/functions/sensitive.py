@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from engramlake.functions.expr import bind
+
 # Detection patterns. (?U) makes \b, \w and \s Unicode-aware.
 CONFIRMED_PATTERNS = {
     "private-key": r"(?iU)-----BEGIN(?: [A-Z0-9]+)? PRIVATE KEY-----",
@@ -83,11 +85,6 @@ def _mentions(lowered: Column, name: str) -> Column:
     return found
 
 
-def _bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _categories(texts: Column) -> Column:
     text, lowered, compact, compact_lowered = (texts[name] for name in ("text", "lowered", "compact", "compact_lowered"))
     values = F.regexp_extract_all(text, F.lit("(?iU)" + SECRET_KEY_PATTERN + SECRET_VALUE_PATTERN), F.lit(1))
@@ -107,9 +104,9 @@ def _categories(texts: Column) -> Column:
 def sensitive_categories(text: Column) -> Column:
     """Confirmed categories in a fixed order; empty array when there are none."""
     pair = F.struct(text.alias("text"), F.translate(text, COMPACT_REMOVED, "").alias("compact"))
-    return _bind(
+    return bind(
         pair,
-        lambda p: _bind(
+        lambda p: bind(
             F.struct(
                 p["text"].alias("text"),
                 F.lower(p["text"]).alias("lowered"),
@@ -123,11 +120,11 @@ def sensitive_categories(text: Column) -> Column:
 
 def has_hedged_language(text: Column) -> Column:
     """Speculative credential wording that is not a placeholder."""
-    match = _bind(
+    match = bind(
         F.lower(text),
         lambda lowered: F.when(_mentions(lowered, "hedged"), F.regexp_extract(text, UNCERTAIN_PATTERN, 0)),
     )
-    return _bind(match, lambda found: F.coalesce((found != "") & ~found.rlike(PLACEHOLDER_PATTERN), F.lit(False)))
+    return bind(match, lambda found: F.coalesce((found != "") & ~found.rlike(PLACEHOLDER_PATTERN), F.lit(False)))
 
 
 def is_sensitive(text: Column) -> Column:

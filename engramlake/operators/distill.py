@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.functions.claims import CLAIM_PATTERN, canonical_value, exclusive_dimension, plain_claim
+from engramlake.functions.expr import bind
 from engramlake.functions.gates import ONE_OFF_MARKERS, REQUEST, RULES, STANDING_MARKERS, GateRule
 from engramlake.functions.hashing import joined_digest
 from engramlake.functions.sensitive import is_sensitive
@@ -92,23 +93,32 @@ def claims(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     Preferences are told apart by the last word of their value, so that "dark mode" and
     "light mode" concern the same subject. Rows without any claim are rejected.
     """
-    plain = plain_claim(F.col("content"))
-    given = (F.coalesce(plain_claim(F.col("claim_subject")), F.lit("")) != "") & (
-        F.coalesce(plain_claim(F.col("claim_value")), F.lit("")) != ""
+    parts = bind(
+        plain_claim(F.col("content")),
+        lambda plain: F.struct(
+            *[F.regexp_extract(plain, CLAIM_PATTERN, i).alias(n) for i, n in ((1, "subject"), (2, "verb"), (3, "value"))]
+        ),
+    )
+    prepared = candidates.withColumns(
+        {
+            "__parts": parts,
+            "__subject": plain_claim(F.coalesce("claim_subject", F.lit(""))),
+            "__value": canonical_value(F.coalesce("claim_value", F.lit(""))),
+        }
     )
-    subject, verb, value = (F.regexp_extract(plain, CLAIM_PATTERN, i) for i in (1, 2, 3))
+    given = (F.col("__subject") != "") & (F.col("__value") != "")
+    subject, verb, value = (F.col(f"__parts.{name}") for name in ("subject", "verb", "value"))
     aspect = F.when(
         (verb == "prefers") & F.contains(value, F.lit(" ")), F.concat(F.lit(":"), F.substring_index(value, " ", -1))
     ).otherwise("")
-    judged = candidates.withColumn(
-        "claim_subject",
-        F.when(given, plain_claim(F.col("claim_subject"))).when(
-            subject != "", F.concat(subject, F.lit(":"), verb, aspect)
-        ),
-    ).withColumn(
-        "claim_value",
-        F.when(given, canonical_value(F.col("claim_value"))).when(subject != "", canonical_value(value)),
-    )
+    judged = prepared.withColumns(
+        {
+            "claim_subject": F.when(given, F.col("__subject")).when(
+                subject != "", F.concat(subject, F.lit(":"), verb, aspect)
+            ),
+            "claim_value": F.when(given, F.col("__value")).when(subject != "", canonical_value(value)),
+        }
+    ).drop("__parts", "__subject", "__value")
     return (
         judged.filter(F.col("claim_subject").isNotNull()),
         judged.filter(F.col("claim_subject").isNull()).withColumn("reason", F.lit("claim identity is missing")),
