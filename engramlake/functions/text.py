@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from engramlake.functions.expr import bind
+
 # A token is a run of Han characters or a run of other letters, digits and marks.
 TOKEN_PATTERN = r"\p{IsHan}+|[^\p{IsHan}\p{P}\p{S}\p{Z}\p{C}]+"
 # Characters a truncated text may be cut back to.
@@ -67,12 +69,16 @@ def close_fences(text: Column) -> Column:
 
 def truncate_text(text: Column, limit: Column) -> Column:
     """Cut ``text`` to ``limit`` bytes at a sentence, line or word boundary where one is late enough."""
-    prefix = byte_prefix(text, limit)
-    head = F.regexp_extract(prefix, BOUNDARY_PATTERN, 1)
-    late = F.length(head) - 1 >= F.greatest(F.lit(1), F.floor(F.length(prefix) / 2))
-    trimmed = F.regexp_replace(F.when(late, head).otherwise(prefix), r"(?U)\s+\z", "")
+
+    def at_boundary(prefix: Column) -> Column:
+        late = lambda head: F.length(head) - 1 >= F.greatest(F.lit(1), F.floor(F.length(prefix) / 2))
+        return bind(
+            F.regexp_extract(prefix, BOUNDARY_PATTERN, 1), lambda head: F.when(late(head), head).otherwise(prefix)
+        )
+
+    cut = bind(byte_prefix(text, limit), at_boundary)
     return (
         F.when(limit <= 0, F.lit(""))
         .when(F.octet_length(text) <= limit, text)
-        .otherwise(close_fences(trimmed))
+        .otherwise(bind(F.regexp_replace(cut, r"(?U)\s+\z", ""), close_fences))
     )

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from engramlake.operators import retrieve
+from engramlake.functions.text import truncate_text
+from engramlake.operators import pack, retrieve
 from engramlake.operators.filters import recall_eligible
 from engramlake.registry.core import query
 
@@ -202,3 +203,59 @@ PAGE_HITS = """SELECT page_id, CASE CAST(page_id % 7 AS INT) WHEN 0 THEN concat(
 def _sanitize_results(t):
     cleaned = retrieve.sanitize_results(t.sql(PAGE_HITS, "pages"), secret="html")
     return cleaned.select("page_id", "path", "library_id", "heading", F.sha2("content", 256).alias("content_hash"))
+
+
+LIMITED = "SELECT doc_id, text, CAST(100 + (doc_id * 37) % 900 AS INT) AS n FROM {documents}"
+PREFIXED = """SELECT doc_id, text, n, CASE WHEN octet_length(encode(text)) <= n THEN text ELSE decode(encode(text)[1:CASE WHEN NOT regexp_matches(hex(encode(text)[n + 1:n + 1]), '^[89AB]') THEN n
+ WHEN NOT regexp_matches(hex(encode(text)[n:n]), '^[89AB]') THEN n - 1 WHEN NOT regexp_matches(hex(encode(text)[n - 1:n - 1]), '^[89AB]') THEN n - 2 ELSE n - 3 END]) END AS prefix FROM {limited}"""
+
+
+@query(
+    "ret13_truncate_to_budget",
+    """SELECT doc_id, CASE WHEN octet_length(encode(text)) <= n THEN text ELSE regexp_replace(CASE WHEN length(head) - 1 >= greatest(1, floor(length(prefix) / 2)) THEN head ELSE prefix END, '\\s+$', '') END AS cut
+ FROM (SELECT *, regexp_extract(prefix, '(?s)^(.*[\\n 。！？])', 1) AS head FROM {prefixed}) p""",
+    limited=LIMITED,
+    prefixed=PREFIXED,
+)
+def _truncate(t):
+    rows = t.sql(LIMITED, "documents")
+    return rows.select("doc_id", truncate_text(F.col("text"), F.col("n")).alias("cut"))
+
+
+def packable_hits(t):
+    """Fused hits with the metadata a package carries."""
+    fused = retrieve.fuse(channel_hits(t), 10)
+    units = t.units.select("id", "region_id", "content", "source", "memory_type", "updated_s")
+    return fused.join(units, "id").select(
+        "query_id", "rank", F.col("id").alias("chunk_id"), F.col("id").alias("document_id"), F.col("region_id").alias("library_id"),
+        "region_id", F.concat(F.lit("memory://"), "id").alias("path"), F.lit("v1").alias("source_version"), F.col("memory_type").alias("source_type"),
+        "classification", "score", F.array(F.concat(F.lit("event:"), "id"), F.concat(F.lit("source:"), "source"), F.lit("x")).alias("source_references"),
+        F.create_map(F.lit("updated"), F.col("updated_s").cast("string")).alias("user_metadata"), "content",
+    )
+
+
+def budgeted_queries(t):
+    number = F.substring("query_id", 2, 20).cast("int")
+    return t.recall_queries.withColumn("token_budget", (F.lit(1200) + (number * 977) % 12000).cast("int"))
+
+
+@query("ret14_pack_context")
+def _pack_context(t):
+    packed = pack.pack_context(budgeted_queries(t).withColumn("diagnostics", F.lit('{"entity_graph_status":"ready"}')), packable_hits(t))
+    return packed.select(
+        "query_id", "status", "effective_tokens", "direct_limit", "graph_limit", "metadata_limit", "direct_used", "graph_used",
+        "metadata_used", "used_tokens", F.array_join("degradation", ",").alias("degradation"),
+        F.array_join(F.transform("results", lambda r: r["chunk_id"]), ",").alias("chunk_ids"),
+        F.sha2(F.to_json("results"), 256).alias("results_hash"),
+    )
+
+
+@query("ret15_pack_cross_region")
+def _pack_cross_region(t):
+    regions = t.units.select("region_id").distinct().select(
+        "region_id", F.when(F.col("region_id") == "user", "user").otherwise("project").alias("kind")
+    )
+    queries = budgeted_queries(t).withColumn("region_ids", F.array(*[F.lit(r) for r in ("user", "project-1", "project-3", "topic-1", "topic-5")]))
+    hits = packable_hits(t)
+    packages, telemetry = pack.pack_cross_region(queries, hits, regions)
+    return telemetry.join(packages.select("query_id", "status", "used_tokens", "effective_tokens", "structure_used"), "query_id")
