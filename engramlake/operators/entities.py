@@ -56,10 +56,6 @@ class EntityGraph:
     memory_entities: DataFrame
     memory_relations: DataFrame
 
-    def checkpointed(self) -> EntityGraph:
-        """Materialize every table once in the shared checkpoint folder."""
-        return EntityGraph(*[cut_lineage(getattr(self, f.name)) for f in fields(self)])
-
 
 @F.pandas_udf(T.StringType())
 def _normalize_unicode(names: pd.Series) -> pd.Series:
@@ -464,9 +460,11 @@ def project(memories: DataFrame, extractions: DataFrame, known: DataFrame) -> tu
     lifecycle and updated_s.
     """
     raw_entities, raw_relations, failed = explode_extractions(extractions)
-    accepted, bad_entities = accept_entities(raw_entities, memories)
+    # Judged rows are read by several later steps, so each step is computed once.
+    accepted, bad_entities = (cut_lineage(rows) for rows in accept_entities(raw_entities, memories))
     identified, ambiguous = resolve_identity(accepted, known)
-    relations, bad_relations = accept_relations(raw_relations, identified, memories)
+    identified = cut_lineage(identified)
+    relations, bad_relations = (cut_lineage(rows) for rows in accept_relations(raw_relations, identified, memories))
     first = identified.groupBy("region_id", "entity_id").agg(
         F.min_by(
             F.struct("entity_type", "canonical_name", "normalized_name"), F.struct("updated_s", "memory_id", "position")
