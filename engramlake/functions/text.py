@@ -13,9 +13,7 @@ TOKEN_PATTERN = r"\p{IsHan}+|[^\p{IsHan}\p{P}\p{S}\p{Z}\p{C}]+"
 BOUNDARY_PATTERN = r"(?s)\A(.*[\n 。！？])"
 
 
-def terms_of(text: Column) -> Column:
-    """Lower-cased words; Han runs become overlapping character pairs."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
+def _split_han(tokens: Column) -> Column:
     return F.flatten(
         F.transform(
             tokens,
@@ -27,6 +25,12 @@ def terms_of(text: Column) -> Column:
     )
 
 
+def terms_of(text: Column) -> Column:
+    """Lower-cased words; Han runs become overlapping character pairs."""
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
+    return F.when(text.rlike(r"\p{IsHan}"), _split_han(tokens)).otherwise(tokens)
+
+
 def byte_prefix(text: Column, limit: Column) -> Column:
     """Longest prefix of ``text`` of at most ``limit`` UTF-8 bytes, never splitting a character."""
     raw = F.encode(text, "UTF-8")

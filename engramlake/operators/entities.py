@@ -104,9 +104,7 @@ def eligible_memories(units: DataFrame) -> tuple[DataFrame, DataFrame]:
         | F.exists(references, lambda r: r.isNull() | (r == "") | is_sensitive(r))
     )
     lifecycle = F.when(F.coalesce(F.trim("lifecycle"), F.lit("")) == "", "active").otherwise(F.trim("lifecycle"))
-    sensitive_input = is_sensitive(F.col("content"))
-    for name in ("region_name", "region_id", "region_kind"):
-        sensitive_input = sensitive_input | is_sensitive(F.col(name))
+    sensitive_input = F.exists(F.array("content", "region_name", "region_id", "region_kind"), is_sensitive)
     reason = (
         F.when(F.coalesce(F.trim("memory_id"), F.lit("")) == "", "memory_id is missing")
         .when(is_sensitive(F.col("memory_id")), "sensitive memory identifier")
@@ -185,7 +183,7 @@ def accept_entities(entities: DataFrame, memories: DataFrame) -> tuple[DataFrame
         .when(F.coalesce("canonical_name", F.lit("")) == "", "missing name")
         .when(~F.exists(every_text, lambda text: _holds(text, names)), "name has no support")
         .when(
-            is_sensitive(F.col("canonical_name")) | F.exists("aliases", is_sensitive) | is_sensitive(F.col("raw_id")),
+            F.exists(F.concat(names, F.array("raw_id")), is_sensitive),
             "sensitive name",
         )
         .when((F.size(given) > 0) & (F.size(snippets) == 0), "unusable evidence")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from engramlake.operators import entities as eg
 from engramlake.registry.core import query
 from engramlake.registry.screening import CTES as SCREENING
+from engramlake.registry.stored import stored
 
 EID = "concat('entity:', sha256(concat('[\"', {r}, '\",\"', {t}, '\",\"', {n}, '\"]')))"
 
@@ -31,18 +32,26 @@ STANDING = """SELECT e.*, m.updated_s, coalesce(d.degree, 0) AS degree FROM {ent
 GRAPH = {"me": ME, "mr0": MR0, "mr": MR, "ents": ENTS, "rels": RELS, "vis": VIS, "ends": ENDS, "standing": STANDING}
 
 
-def graph_of(t) -> eg.EntityGraph:
-    """Graph tables of the part/supplier supports; names are ASCII, so lower() normalizes them."""
-    supports = t.entity_support.withColumn("normalized_name", F.lower("name")).withColumn(
+def _supports(t):
+    return t.entity_support.withColumn("normalized_name", F.lower("name")).withColumn(
         "entity_id", eg.entity_key("region_id", "entity_type", "normalized_name")
     )
+
+
+def _relations(t):
     source, target = F.lower("source_name"), F.lower("target_name")
-    relations = (
+    return (
         t.relation_support.withColumns({"st": F.lit("component"), "tt": F.lit("organization"), "sn": source, "tn": target})
         .withColumn("source_entity_id", eg.entity_key("region_id", "st", "sn"))
         .withColumn("target_entity_id", eg.entity_key("region_id", "tt", "tn"))
         .withColumn("relation_id", eg.relation_key("region_id", "source_entity_id", "target_entity_id", "relation_type"))
     )
+
+
+def graph_of(t) -> eg.EntityGraph:
+    """Graph tables of the part/supplier supports; names are ASCII, so lower() normalizes them."""
+    supports = stored(t, "entity-supports", lambda: _supports(t))
+    relations = stored(t, "relation-supports", lambda: _relations(t))
     no_names = F.array().cast("array<string>")
     entities = supports.select(
         "region_id", "entity_id", "entity_type", F.col("name").alias("canonical_name"), "normalized_name"

@@ -8,6 +8,7 @@ from engramlake.functions.text import truncate_text
 from engramlake.operators import pack, retrieve
 from engramlake.operators.filters import recall_eligible
 from engramlake.registry.core import query
+from engramlake.registry.stored import stored
 
 SEGMENTS = r"regexp_extract_all(lower({}), '\p{Han}+|[^\p{Han}\p{P}\p{S}\p{Z}\p{C}]+')".replace("{}", "%s", 1)
 PAIRS = (
@@ -49,8 +50,16 @@ TEXT_CTES = {
 }
 
 
-def text_index(t):
-    return retrieve.build_text_index(recall_eligible(t.units))
+def text_index(t) -> retrieve.TextIndex:
+    """The stored index of the eligible units."""
+    def fresh():
+        return retrieve.build_text_index(recall_eligible(t.units))
+
+    return retrieve.TextIndex(
+        postings=stored(t, "postings", lambda: fresh().postings),
+        terms=stored(t, "term-frequencies", lambda: stored(t, "postings", lambda: fresh().postings).groupBy("term").agg(F.count(F.lit(1)).alias("df"))),
+        stats=stored(t, "index-stats", lambda: fresh().stats),
+    )
 
 
 @query(
@@ -59,7 +68,7 @@ def text_index(t):
     **TEXT_CTES,
 )
 def _build_text_index(t):
-    index = text_index(t)
+    index = retrieve.build_text_index(recall_eligible(t.units))
     return index.postings.join(index.terms, "term").select("term", "id", "tf", "doc_len", "df")
 
 

@@ -86,6 +86,19 @@ DOMAIN_SQL: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+# Tables with costly per-row work, and the unique-enough key to spread them by.
+SPREAD_KEYS = {"documents": "doc_id", "lineitem": "l_orderkey"}
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a table stored in fewer splits than there are cores.
+
+    A table of cluster size has far more splits than that and is returned unchanged.
+    """
+    parallelism = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(parallelism, key) if rows.rdd.getNumPartitions() < parallelism else rows
+
+
 class Tables:
     """Lazy access to the raw parquet tables and the domain tables derived from them."""
 
@@ -94,7 +107,8 @@ class Tables:
         self.path = path.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return spread(rows, SPREAD_KEYS[name]) if name in SPREAD_KEYS else rows
 
     def sql(self, text: str, *names: str) -> DataFrame:
         """Run SQL whose ``{name}`` markers are raw or domain tables."""
