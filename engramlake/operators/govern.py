@@ -14,7 +14,7 @@ from engramlake.session import cut_lineage
 
 MUTATIONS = ("supersede", "overwrite", "archive", "forget", "downweight", "purge")
 SUMMARY_CHARS = 160
-MAX_LINEAGE_ROUNDS = 64
+CYCLE = "versions supersede each other in a cycle"
 
 
 def revision_of(id_col: str = "id", version_col: str = "version", content_col: str = "content") -> Column:
@@ -104,7 +104,8 @@ def version_chains(units: DataFrame) -> DataFrame:
             F.when(F.col("known"), 1).otherwise(0).cast("long").alias("steps"),
         )
     )
-    for _ in range(MAX_LINEAGE_ROUNDS):
+    # n versions need at most log2(n) doublings; more means that a cycle never settles.
+    for _ in range(state.count().bit_length() + 2):
         ahead = state.select(F.col("id").alias("root"), F.col("root").alias("next_root"), F.col("steps").alias("next_steps"))
         state = cut_lineage(
             state.join(ahead, "root").select(
@@ -118,7 +119,10 @@ def version_chains(units: DataFrame) -> DataFrame:
             break
         state = state.drop("moved")
     else:
-        raise ValueError("versions supersede each other in a cycle")
+        raise ValueError(CYCLE)
+    # A cycle of 2, 4, 8 ... versions folds onto itself, at a distance no first version has.
+    if not state.filter((F.col("id") == F.col("root")) & (F.col("steps") > 0)).isEmpty():
+        raise ValueError(CYCLE)
     lineages = state.groupBy("root").agg(
         F.max_by("id", F.struct("steps", "id")).alias("latest_id"), F.count(F.lit(1)).alias("length")
     )
