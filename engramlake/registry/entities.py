@@ -195,7 +195,7 @@ def _resolve_identity(t):
     return resolved.select("memory_id", "entity_id")
 
 
-LINES = """SELECT concat('r', CAST(l_suppkey % 3 AS STRING)) AS region_id, concat('m', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS memory_id,
+LINES = """SELECT DISTINCT concat('r', CAST(l_suppkey % 3 AS STRING)) AS region_id, concat('m', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS memory_id,
  concat('Part ', CAST(l_partkey AS STRING)) AS part, concat('Supplier ', CAST(l_suppkey AS STRING)) AS supplier, CAST((l_orderkey + l_linenumber) % 6 AS INT) AS k FROM {lineitem}"""
 
 
