@@ -31,8 +31,8 @@ from engramlake.llm.shingles import SLICE_BYTES, mix, shingle_sets, slices
 from engramlake.llm.store import components, keep
 
 SIMILARITY = 80  # hundredths
-HEAVY = 1 << 18
-HEAVY_IN_BATCH = 3
+HEAVY = 1 << 19
+HEAVY_IN_BATCH = 2
 LEADERS = 4
 BATCH_SHINGLES = 1 << 21
 BUCKET_ENTRIES = 1 << 20
@@ -41,7 +41,7 @@ _ENTRY = np.dtype([("s", "<u8"), ("g", "<u8"), ("n", "<i4"), ("pos", "<i4")])
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
-        for first, part in slices(batch.column("text"), 4 * SLICE_BYTES):
+        for first, part in slices(batch.column("text"), SLICE_BYTES):
             yield batch.slice(first, len(part)), [s for _, s in shingle_sets(part)]
 
 
@@ -177,10 +177,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fits(left: str, right: str):
-    """Size and position bounds: the best overlap still possible reaches the similarity."""
+    """Size and position bounds. They hold at the first shingle that a similar pair shares: nothing before
+    it is shared, so the overlap is at most what either set has from there on."""
     n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
-    best = F.lit(1) + F.least(n - F.col(f"{left}.pos"), m - F.col(f"{right}.pos")) - 1
-    best = best + F.least(F.col(f"{left}.pos"), F.col(f"{right}.pos"))
+    best = F.least(n - F.col(f"{left}.pos"), m - F.col(f"{right}.pos"))
     return (100 * F.least(n, m) >= SIMILARITY * F.greatest(n, m)) & ((100 + SIMILARITY) * best >= SIMILARITY * (n + m))
 
 
@@ -220,7 +220,8 @@ def similar_classes(documents: DataFrame) -> DataFrame:
     groups = sets.groupBy("g").agg(F.min("rep").alias("lead"), F.count("*").alias("size"), F.first("n").alias("n"))
     inner = sets.join(groups.filter("size > 1").select("g", "lead"), "g").filter("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
 
-    leader = shared.groupBy("s").agg(F.min(F.struct(F.xxhash64("g", F.col("s") % LEADERS).alias("h"), "g", "n", "pos")).alias("l"))
+    # the group with the fewest rarer shingles before this one is the least edited: most others are close to it
+    leader = shared.groupBy("s").agg(F.min(F.struct("pos", F.xxhash64("g", F.col("s") % LEADERS).alias("h"), "g", "n")).alias("l"))
     outer = shared.alias("x").join(leader, "s").filter((F.col("x.g") != F.col("l.g")) & _fits("x", "l")).select(F.col("x.g").alias("g"), F.col("l.g").alias("h"))
     outer = outer.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct()
     leads = groups.select("g", F.col("lead"))
