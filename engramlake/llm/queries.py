@@ -5,8 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from engramlake.llm.decontaminate import contaminated
+from engramlake.llm.exact_dedup import exact_copies
 from engramlake.llm.ngram_join import similar_classes
+from engramlake.llm.packing import pack_sequences
+from engramlake.llm.token_output import pieces_of, write_matrices
+from engramlake.llm.url_filters import judge_pages
+from engramlake.llm.warc import assemble, read_records, write_archives
+from engramlake.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,3 +29,76 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_ngram_jaccard_join"] = op1_ngram_jaccard_join
+
+
+def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "id-matrices")
+    write_matrices(table(spark, sf_dir, "documents"), folder)
+    return pieces_of(spark.read.parquet(folder))
+
+
+QUERIES["op2_token_id_output"] = op2_token_id_output
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op3_decontamination"] = op3_decontamination
+ORACLE["op3_decontamination"] = """WITH words AS (
+ SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), w -> w <> '') AS w FROM documents
+ UNION ALL
+ SELECT 'i', item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), w -> w <> '') FROM benchmark),
+shingles AS (
+ SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+ FROM words WHERE id IS NOT NULL),
+sizes AS (SELECT id AS item_id, count(*) AS item_shingles FROM shingles WHERE kind = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared, any_value(item_shingles) AS item_shingles
+FROM shingles d JOIN shingles i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' JOIN sizes ON sizes.item_id = i.id
+GROUP BY d.id, i.id HAVING 100 * count(*) >= 80 * any_value(item_shingles)"""
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_sequences(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES["op4_packing"] = op4_packing
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_copies(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_exact_dedup"] = op5_exact_dedup
+ORACLE["op5_exact_dedup"] = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+ doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op6_url_filters"] = op6_url_filters
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "archives")
+    write_archives(table(spark, sf_dir, "pages"), folder)
+    captures = assemble(read_records(spark, folder, with_payload=False))
+    page = F.col("metadata_fields.pageId").cast("long")
+    rows = captures.select(
+        page.alias("page_id"), F.col("capture_id"), F.col("response.refers_to").alias("refers_id"), "payload_bytes", "payload_digest",
+        F.col("response.record_type").alias("record_type"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
+    )
+    full = captures.filter("response.refers_to is null").select(F.col("capture_id").alias("refers_id"), page.alias("refers_to"))
+    return rows.join(full, "refers_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES["op9_warc"] = op9_warc
+ORACLE["op9_warc"] = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+ CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM g"""
