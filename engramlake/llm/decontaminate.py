@@ -17,6 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engramlake.functions.expr import bind
 from engramlake.llm.store import keep
 
 WIDTH = 5
@@ -34,17 +35,20 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.split(low, _SPLIT), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def shingle_hashes(words: str, width: int = WIDTH) -> Column:
-    """Hashes of the shingles of a column of word hashes, with repeats; a short text is one shingle."""
-    w = F.col(words)
-    size = F.size(w)
-    long = F.transform(F.sequence(F.lit(0), size - width), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
-    return F.when(size >= width, long).when(size > 0, F.array(F.xxhash64(w, size))).otherwise(F.array().cast("array<bigint>"))
+def shingle_hashes(words: Column, width: int = WIDTH) -> Column:
+    """Hashes of the shingles of an array of word hashes, with repeats; a short text is one shingle."""
+
+    def of(w: Column) -> Column:
+        size = F.size(w)
+        long = F.transform(F.sequence(F.lit(0), size - width), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
+        return F.when(size >= width, long).when(size > 0, F.array(F.xxhash64(w, size))).otherwise(F.array().cast("array<bigint>"))
+
+    return bind(words, of)
 
 
 def _sets(rows: DataFrame, key: str) -> DataFrame:
-    words = rows.select(F.col(key).cast("long").alias(key), word_hashes(F.col("text").cast("string")).alias("words"))
-    return words.select(key, F.sort_array(shingle_hashes("words")).alias("hashes"))
+    hashes = F.sort_array(shingle_hashes(word_hashes(F.col("text").cast("string"))))
+    return rows.select(F.col(key).cast("long").alias(key), hashes.alias("hashes"))
 
 
 def _log_bins(n: Column) -> Column:
@@ -54,12 +58,15 @@ def _log_bins(n: Column) -> Column:
 
 def sketches(documents: DataFrame, full: bool = False) -> DataFrame:
     """(doc_id, hash): the smallest hash of every bin, or all hashes where items are too short for bins."""
-    sets = _sets(documents, "doc_id").filter(F.size("hashes") > 0)
-    h, shift = F.col("hashes"), F.lit(64) - F.col("log_bins")
-    # hashes are sorted as signed numbers, so equal leading bits stand together
-    part = (lambda x: x) if full else (lambda x: F.call_function("shiftrightunsigned", x, shift))
-    firsts = F.filter(h, lambda x, i: (i == 0) | (part(x) != part(F.get(h, i - 1))))
-    return sets.withColumn("log_bins", _log_bins(F.size("hashes"))).select("doc_id", F.explode(firsts).alias("hash"))
+
+    def firsts(h: Column) -> Column:
+        shift = F.lit(64) - _log_bins(F.size(h))
+        part = (lambda x: x) if full else (lambda x: F.call_function("shiftrightunsigned", x, shift))
+        # hashes are sorted as signed numbers, so equal leading bits stand together
+        return F.filter(h, lambda x, i: (i == 0) | (part(x) != part(F.get(h, i - 1))))
+
+    sets = _sets(documents, "doc_id")
+    return sets.select("doc_id", F.explode(bind(F.col("hashes"), firsts)).alias("hash"))
 
 
 def contaminated(documents: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
