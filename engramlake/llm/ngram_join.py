@@ -31,7 +31,7 @@ from engramlake.llm.shingles import SLICE_BYTES, mix, shingle_sets, slices
 from engramlake.llm.store import components, keep
 
 SIMILARITY = 80  # hundredths
-HEAVY = 1 << 19
+HEAVY = 1 << 18
 HEAVY_IN_BATCH = 2
 LEADERS = 4
 BATCH_SHINGLES = 1 << 21
@@ -191,6 +191,19 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(_verified, "a long, b long").distinct()
 
 
+def _global_order(docs: DataFrame) -> PrefixOrder:
+    """The order, with the most repeated shingles as heavy: as many whole counts as fit in ``HEAVY``."""
+    counts = keep(docs.select("text").mapInArrow(_repeated, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")), "repeated")
+    kept, least = 0, 1 << 62
+    for row in counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.col("n").desc()).collect():
+        kept += row["count"]
+        if kept > HEAVY:
+            break
+        least = row.n
+    heavy = counts.filter(F.col("n") >= least).toArrow()
+    return PrefixOrder(heavy.column("s").to_numpy().view(np.uint64), heavy.column("n").to_numpy())
+
+
 def similar_classes(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``documents`` (doc_id long, text string).
 
@@ -200,11 +213,7 @@ def similar_classes(documents: DataFrame) -> DataFrame:
     Other columns are ignored. An empty table gives no rows.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    heavy = (
-        docs.select("text").mapInArrow(_repeated, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-        .orderBy(F.col("n").desc(), "s").limit(HEAVY).collect()
-    )
-    order = PrefixOrder(np.array([r.s for r in heavy], np.int64).view(np.uint64), np.array([r.n for r in heavy], np.int64))
+    order = _global_order(docs)
     members = keep(docs.mapInArrow(_members(order), "doc_id long, n_shingles long, g long, digest binary"), "members")
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = 1 << max(4, math.ceil(math.log2(1 + total * (100 - SIMILARITY) / 100 / BUCKET_ENTRIES)))
