@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from engramlake.llm.decontaminate import contaminated
 from engramlake.llm.exact_dedup import exact_copies
+from engramlake.llm.html_extract import extract_main_text
 from engramlake.llm.ngram_join import similar_classes
 from engramlake.llm.packing import pack_sequences
+from engramlake.llm.quality import score_documents
 from engramlake.llm.token_output import pieces_of, write_matrices
 from engramlake.llm.url_filters import judge_pages
 from engramlake.llm.warc import assemble, read_records, write_archives
@@ -102,3 +104,17 @@ g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
 SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM g"""
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op7_quality_classifier"] = op7_quality_classifier
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op10_html_extraction"] = op10_html_extraction
