@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from engramlake.llm.decontaminate import contaminated
 from engramlake.llm.exact_dedup import exact_copies
 from engramlake.llm.html_extract import extract_main_text
+from engramlake.llm.lm_scoring import score_texts
 from engramlake.llm.ngram_join import similar_classes
 from engramlake.llm.packing import pack_sequences
 from engramlake.llm.quality import score_documents
@@ -118,3 +119,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_html_extraction"] = op10_html_extraction
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_lm_scoring"] = op8_lm_scoring
