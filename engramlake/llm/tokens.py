@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 600_000
 LONG_CHUNK = 256
 TEXT_BYTES = 1 << 20
 _MARK = "0"  # stands alone as a pre-token between the chunks of one call
@@ -58,16 +58,20 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of UTF-8 texts, without special tokens around them."""
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        wanted = set().union(*split) if split else set()
+        parts = [list(map(self.young.get, chunks)) for chunks in split]
+        holes = [[k for k, part in enumerate(row) if part is None] for row in parts]
+        wanted = {chunks[k] for chunks, places in zip(split, holes, strict=True) for k in places}
         new = []
-        for chunk in wanted - self.young.keys():
+        for chunk in wanted:
             if chunk in self.old:
                 self.young[chunk] = self.old[chunk]
             else:
                 new.append(chunk)
         self._learn(new)
-        at = self.young.__getitem__
-        ids = [np.frombuffer(b"".join(map(at, chunks)), self.kind).astype(np.uint32) for chunks in split]
+        for chunks, row, places in zip(split, parts, holes, strict=True):
+            for k in places:
+                row[k] = self.young[chunks[k]]
+        ids = [np.frombuffer(b"".join(row), self.kind).astype(np.uint32) for row in parts]
         for chunk in new:
             if len(chunk) > LONG_CHUNK:
                 del self.young[chunk]
