@@ -1,31 +1,81 @@
-"""The corpus pipeline: documents through classifier, deduplication, decontamination and packing."""
+"""The corpus pipeline: documents through classifier, deduplication, decontamination and packing.
+
+Each stage takes what its predecessor kept and returns documents, the last one packed pieces.
+Documents are told apart by doc_id; a repeated doc_id is one document to every stage that drops rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from engramlake.llm.decontaminate import contaminated
+from engramlake.llm.exact_dedup import exact_copies
 from engramlake.llm.ngram_join import similar_classes
+from engramlake.llm.packing import pack_sequences
+from engramlake.llm.quality import score_documents
 from engramlake.llm.store import keep
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def _without(docs: DataFrame, dropped: DataFrame, label: str) -> DataFrame:
+    """``docs`` without the doc_ids in ``dropped``, which are written first; rows without an id stay."""
+    ids = keep(dropped.select("doc_id").distinct(), label)
+    return docs.join(ids, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return _without(docs, score_documents(docs, _table(spark, sf_dir, "labels")).filter("predicted = 0"), "rejected")
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest doc_id stays; of repeated rows one stays."""
+    copies = keep(exact_copies(docs).filter("not kept"), "copies")
+    rest = _without(docs, copies.filter("doc_id != keep_id or doc_id is null and keep_id is not null"), "exact-copies")
+    repeated = copies.filter("doc_id <=> keep_id").select("doc_id").distinct()
+    if repeated.isEmpty():
+        return rest
+    # the same doc_id and text more than once: only such rows are gathered by their values
+    same = rest["doc_id"].eqNullSafe(repeated["doc_id"])
+    return rest.join(repeated, same, "left_anti").unionByName(rest.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every class of near copies, the document with the smallest id stays."""
-    classes = keep(similar_classes(docs).filter("doc_id != component_id").select("doc_id"), "near-copies")
-    return docs.join(classes, "doc_id", "left_anti").select(*COLUMNS)
+    """Of every class of near copies the document with the smallest doc_id stays."""
+    return _without(docs, similar_classes(docs).filter("doc_id != component_id"), "near-copies")
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return _without(docs, contaminated(docs, _table(spark, sf_dir, "benchmark")), "contaminated")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all remaining documents, packed: one row per piece."""
+    return pack_sequences(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("near_duplicates", near_duplicates)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("exact_duplicates", exact_duplicates),
+    ("near_duplicates", near_duplicates),
+    ("decontaminated", decontaminated),
+    ("packed", packed),
+]
+# A learned classifier and tokenisation cannot be expressed in SQL; tests/llm compares the stages with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written and read again for the next."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
