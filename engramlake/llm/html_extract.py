@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from engramlake.llm.html_blocks import blocks
 from engramlake.llm.shingles import word_hashes
 
-TRAIN_PAGES = 200
+TRAIN_PAGES = 120
 TRAIN_BLOCKS = 60  # longer training pages are cut into windows of so many blocks
-VARIANTS = 3
-HIDDEN = 12
-EPOCHS = 14
-PATH_BITS = 128
+VARIANTS = 8
+HIDDEN = 16
+EPOCHS = 24
+PATH_BITS = 384
 WORD_BITS = 48
 BATCH_PAGES = 256
 
@@ -51,16 +51,17 @@ def is_main(path: Sequence[str], whole_page: Sequence[Sequence[str]]) -> bool:
     return not marked or any(word in MAIN_TAGS for word in path)
 
 
-_SLOT: dict[str, int] = {}
+_SLOTS: dict[str, tuple[int, int]] = {}
 
 
-def _slot(word: str, size: int) -> int:
-    key = f"{size}{word}"
-    found = _SLOT.get(key)
+def _slots(word: str) -> tuple[int, int]:
+    """Two places of a path word, so that two words rarely look the same."""
+    found = _SLOTS.get(word)
     if found is None:
-        if len(_SLOT) > 100_000:
-            _SLOT.clear()
-        found = _SLOT[key] = zlib.crc32(word.encode()) % size
+        if len(_SLOTS) > 100_000:
+            _SLOTS.clear()
+        code = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        found = _SLOTS[word] = (code % (PATH_BITS // 2), PATH_BITS // 2 + code // PATH_BITS % (PATH_BITS // 2))
     return found
 
 
@@ -70,7 +71,8 @@ def vectors(page_blocks: Sequence[Block]) -> np.ndarray:
     out = np.zeros((n, PATH_BITS + WORD_BITS + 5), np.float32)
     for row, (text, path, linked) in enumerate(page_blocks):
         for word in path:
-            out[row, _slot(word, PATH_BITS)] += 1.0
+            for slot in _slots(word):
+                out[row, slot] += 1.0
         size = len(text)
         tail = out[row, PATH_BITS + WORD_BITS :]
         tail[0], tail[1] = np.log1p(size) / 5, min(1.0, linked / max(1, size))
@@ -157,7 +159,8 @@ class BlockLabeller:
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         pages = sorted(pages, key=lambda page: len(page[1]))
         step = 0
-        for _ in range(epochs):
+        for epoch in range(epochs):
+            pace = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 1e-4
             for at in rng.permutation(range(0, len(pages), size)):
                 x, mask, y = padded([v for v, _ in pages[at : at + size]], [z for _, z in pages[at : at + size]])
                 _, grads = self.gradients(x, mask, y)
@@ -166,7 +169,7 @@ class BlockLabeller:
                     grad = np.clip(grad, -1, 1)
                     first[k] = 0.9 * first[k] + 0.1 * grad
                     second[k] = 0.999 * second[k] + 0.001 * grad**2
-                    self.p[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    self.p[k] -= (pace * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
     def label(self, pages: Sequence[np.ndarray]) -> list[np.ndarray]:
         """True for main text, per block of every page; pages of like length are run together."""
@@ -196,8 +199,12 @@ def padded(xs: Sequence[np.ndarray], ys: Sequence[np.ndarray] | None) -> tuple[n
 def variant(page: Sequence[Block], rng: np.random.Generator) -> list[Block]:
     """The page with furniture that its site lacks, made of its own words, inside and around the article."""
     words = " ".join(t for t, _, _ in page).split() or ["text"]
-    out = list(page)
-    roots: list[tuple[str, ...]] = [("html", "body")]
+    share = rng.random() if rng.random() < 0.6 else 1.0  # shorter pages, with shorter blocks
+    out = [(" ".join(t.split()[: int(rng.integers(1, 30))]) if share < 0.5 else t, p, n) for t, p, n in page if rng.random() < share] or list(page)
+    top = () if rng.random() < 0.15 else ("html",)
+    out = [(t, (*top, *p[1:]), n) for t, p, n in out]
+    page = [(t, (*top, *p[1:]), n) for t, p, n in page]
+    roots: list[tuple[str, ...]] = [(*top, "body")]
     inner = next((p for _, p, _ in page if any(w in MAIN_TAGS for w in p)), None)
     if inner:
         at = next(k for k, w in enumerate(inner) if w in MAIN_TAGS)
