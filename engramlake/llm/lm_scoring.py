@@ -34,7 +34,7 @@ CONTEXTS = 256
 OWN_CONTEXTS = 160
 DIM = 24
 NOISE = 32
-BATCH = 4096
+BATCH = 1024
 RATE = 0.15
 KNOWN_WORDS = 200_000
 HELD_OUT = 1
@@ -216,13 +216,13 @@ class LogBilinear:
         return (logits - normalisers[first * CONTEXTS + second]) / np.log(10)
 
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
+def vocabulary(counts: DataFrame, known_words: int = KNOWN_WORDS) -> Vocabulary:
     """From the full table (word, c): its most frequent words by whole counts, and totals."""
     suffix = F.crc32(F.expr("substring(word, -3)")) % SUFFIX_CLASSES
     kept, least = 0, 1 << 62
     for row in counts.groupBy(F.least("c", F.lit(100_000)).alias("c")).count().orderBy(F.col("c").desc()).collect():
         kept += row["count"]
-        if kept > KNOWN_WORDS:
+        if kept > known_words:
             break
         least = row.c
     known = counts.filter(F.col("c") >= least).toArrow()
@@ -306,7 +306,7 @@ def _scored(shared, weights, normalisers):
     return run
 
 
-def score_texts(documents: DataFrame) -> DataFrame:
+def score_texts(documents: DataFrame, known_words: int = KNOWN_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``documents``.
 
     Learns from rows that are not held out. A null text is empty: one end token. A null doc_id is not held
@@ -317,7 +317,7 @@ def score_texts(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     learned = docs.filter(~held_out(F.col("doc_id"))).select("text")
     counts = keep(learned.mapInArrow(_counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
-    words = vocabulary(counts)
+    words = vocabulary(counts, known_words)
     shared = context.broadcast(words)
     parameters = learned.mapInArrow(_trained(shared), "at int, value double, n long").groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).toArrow()
     words.prepare()
