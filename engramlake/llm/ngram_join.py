@@ -187,7 +187,8 @@ def _fits(left: str, right: str):
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    # texts are always shuffled to their pairs: neither side has a bound that a broadcast could rely on
+    rows = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "text_a", "text_b")
     return rows.mapInArrow(_verified, "a long, b long").distinct()
 
 
@@ -239,7 +240,7 @@ def similar_classes(documents: DataFrame) -> DataFrame:
 
     involved = shared.select("g").union(groups.filter("size > 1").select("g")).distinct()
     wanted = sets.join(involved, "g", "left_semi").select(F.col("rep").alias("doc_id"))
-    texts = keep(docs.join(wanted, "doc_id", "left_semi"), "candidate-texts")
+    texts = keep(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), "candidate-texts")
     links = keep(_verify(first, texts), "links")
     classes = components(links)
 
