@@ -50,6 +50,7 @@ def main() -> None:
         f"local[{cpus}]",
         **{
             "spark__sql__shuffle__partitions": str(2 * int(cpus)) if cpus.isdigit() else "16",
+            "spark__engramlake__spreadTables": cpus if cpus.isdigit() else "8",
             "spark__ui__enabled": "false",
             "spark__ui__showConsoleProgress": "false",
             "spark__driver__memory": os.environ.get("BENCH_MEMORY", "16g"),

@@ -20,10 +20,13 @@ COMPACT_PATTERNS = {
     "github-token": r"(?U)\bgh[pousr]_[A-Za-z0-9]{20,}\b",
     "aws-access-key": r"(?U)\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
 }
-SECRET_KEY_PATTERN = (
-    r"(?<![a-z0-9_-])[\"']?(?:(?:[a-z0-9]+[_-])*(?:api[\s_-]*key|access[\s_-]*token|client[\s_-]*secret|"
-    r"secret[\s_-]*access[\s_-]*key|password|passwd|pass|secret|token))\b[\"']?\s*(?::|=)\s*"
+SECRET_WORDS = (
+    r"(?:api[\s_-]*key|access[\s_-]*token|client[\s_-]*secret|secret[\s_-]*access[\s_-]*key|password|passwd|pass|secret|token)"
 )
+ASSIGNED_KEY = SECRET_WORDS + r"\b[\"']?\s*(?::|=)\s*"
+# Words before the key are taken one by one and never given back: a repeated group that can be given
+# back would recurse once per word. Each stops where the key itself stands.
+SECRET_KEY_PATTERN = r"(?<![a-z0-9_-])[\"']?(?:(?!" + ASSIGNED_KEY + r")[a-z0-9]++[_-])*+" + ASSIGNED_KEY
 # The value is captured in a lookahead so that the next key may start inside it.
 SECRET_VALUE_PATTERN = (
     r"(?=(\"[^\"\\\r\n]*+(?:\\[\s\S][^\"\\\r\n]*+)*+|'[^'\\\r\n]*+(?:\\[\s\S][^'\\\r\n]*+)*+|[^\"';\n][^;\n]*+|))"
@@ -40,9 +43,9 @@ ASSIGNED_PLACEHOLDER_PATTERN = (
 )
 BENIGN_VALUE_PATTERN = (
     r"(?iU)\A(?:\$\{?[A-Z][A-Z0-9_]*\}?|(?:env|environment)(?::|[._-])?[A-Z][A-Z0-9_]*|"
-    r"vault://[a-z0-9._-]+(?:/[a-z0-9._-]+)+#[a-z0-9._-]+|"
+    r"vault://[a-z0-9._-]++(?:/[a-z0-9._-]++)++#[a-z0-9._-]++|"
     r"(?:generated|managed|configured|injected|provided|resolved|loaded|fetched)"
-    r"(?:[-_](?:at|by|from|during|via)[-_][a-z0-9_-]+)+)\z"
+    r"(?:[-_](?:at|by|from|during|via)[-_][a-z0-9_-]++)++)\z"
 )
 
 

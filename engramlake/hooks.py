@@ -44,7 +44,7 @@ def preference_extractor(context: dict) -> dict:
                     "durability": "durable_statement",
                 }
             )
-    return {"memories": memories[:20]}
+    return {"memories": memories}
 
 
 def name_extractor(context: dict) -> dict:
@@ -77,7 +77,7 @@ def _map_json(df: DataFrame, input_col: str, fn: Callable[[dict], dict], out: st
 
 
 def extract_memories(requests: DataFrame, extractor: Extractor = preference_extractor) -> DataFrame:
-    """Add ``raw`` (JSON with at most 20 candidates) and ``error`` to distillation requests."""
+    """Add ``raw`` (JSON with all candidates; the reader refuses lists that are too long) and ``error`` to distillation requests."""
     return _map_json(requests, "context", extractor, "raw")
 
 
@@ -92,7 +92,10 @@ def classify_promotions(candidates: DataFrame, classifier: Classifier = retain_c
 
 
 def hashing_embedder(dim: int) -> Embedder:
-    """Signed feature hashing of words into unit vectors."""
+    """Feature hashing of words into unit vectors: signed in all places but the first, which counts words.
+
+    So words never cancel out, and the vector is zero only for a text without words.
+    """
 
     def embed(texts: list[str]) -> list[list[float]]:
         vectors = []
@@ -100,7 +103,8 @@ def hashing_embedder(dim: int) -> Embedder:
             vector = np.zeros(dim)
             for word in re.findall(r"\w+", (text or "").lower()):
                 digest = hashlib.md5(word.encode()).digest()
-                vector[int.from_bytes(digest[:4], "big") % dim] += 1 if digest[4] & 1 else -1
+                vector[0] += 0.5
+                vector[1 + int.from_bytes(digest[:4], "big") % (dim - 1)] += 1 if digest[4] & 1 else -1
             norm = np.linalg.norm(vector)
             vectors.append((vector / norm if norm else vector).tolist())
         return vectors

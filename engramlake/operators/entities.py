@@ -196,7 +196,7 @@ def accept_entities(entities: DataFrame, memories: DataFrame) -> tuple[DataFrame
 
 
 def resolve_identity(
-    entities: DataFrame, known: DataFrame, max_rounds: int = 32
+    entities: DataFrame, known: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Give every entity mention its entity id, and reject mentions two entities lay claim to.
 
@@ -204,7 +204,8 @@ def resolve_identity(
     that is a known canonical name keeps its entity. Otherwise the name and its aliases are
     looked up among known aliases, then among the names introduced earlier in the batch,
     ordered by (updated_s, memory_id, position); the earliest introducer of a name owns it.
-    Types are never merged.
+    Types are never merged. Chains of single owners are halved in every round, so a chain of any
+    length takes about log2 of it.
     """
     scope = ["region_id", "entity_type"]
     named = entities.withColumn("normalized_name", normalized_name(F.col("canonical_name"))).filter(
@@ -246,13 +247,12 @@ def resolve_identity(
             .when(F.col("n_known") == 1, F.col("alias_id"))
             .when(F.col("owners").isNull(), F.col("own_id")),
         )
-        .select(*scope, "normalized_name", "owners", "resolved")
+        .select(*scope, "normalized_name", "owners", "resolved", F.col("own_id").alias("fallback"))
     )
     state = cut_lineage(state)
-    for _ in range(max_rounds):
+    left = state.filter(F.col("resolved").isNull()).count()
+    while left:
         pending = state.filter(F.col("resolved").isNull())
-        if pending.isEmpty():
-            break
         answers = (
             pending.select(*scope, "normalized_name", F.explode("owners").alias("owner"))
             .join(
@@ -271,15 +271,31 @@ def resolve_identity(
                 F.when(F.col("open") > 0, F.lit(None))
                 .when(F.col("n") == 1, F.col("only_id"))
                 .when(F.col("n") > 1, F.lit(""))
-                .otherwise(entity_key("region_id", "entity_type", "normalized_name"))
                 .alias("answer"),
+                ((F.col("open") == 0) & (F.col("n") == 0)).alias("refused"),
             )
         )
+        # An open mention whose only owner is open too goes by that owner's owner; should that one be
+        # refused, the skipped owner would have had its own id, which the mention takes.
+        single = pending.filter(F.size("owners") == 1).select(
+            *scope, F.col("normalized_name").alias("via"), F.col("owners").alias("next"), F.col("fallback").alias("next_fallback")
+        )
+        only = F.when(F.size("owners") == 1, F.get("owners", F.lit(0)))
         state = cut_lineage(
             state.join(answers, [*scope, "normalized_name"], "left")
-            .withColumn("resolved", F.coalesce("resolved", "answer"))
-            .drop("answer")
+            .withColumn("resolved", F.coalesce("resolved", "answer", F.when(F.col("refused"), F.col("fallback"))))
+            .withColumn("via", F.when(F.col("resolved").isNull(), only))
+            .join(single, [*scope, "via"], "left")
+            .select(
+                *scope, "normalized_name", F.coalesce("next", "owners").alias("owners"), "resolved",
+                F.coalesce("next_fallback", "fallback").alias("fallback"), F.col("next").isNotNull().alias("moved"),
+            )
         )
+        facts = state.agg(F.count(F.when(F.col("resolved").isNull(), 1)).alias("left"), F.coalesce(F.max("moved"), F.lit(False)).alias("moved")).first()
+        if facts.left == left and not facts.moved:
+            raise ValueError("identities wait for each other")
+        left = facts.left
+        state = state.drop("moved")
     resolved = named.join(
         state.select(*scope, "normalized_name", F.nullif("resolved", F.lit("")).alias("entity_id")), [*scope, "normalized_name"]
     )

@@ -14,7 +14,6 @@ from engramlake.session import cut_lineage
 
 MUTATIONS = ("supersede", "overwrite", "archive", "forget", "downweight", "purge")
 SUMMARY_CHARS = 160
-CYCLE = "versions supersede each other in a cycle"
 
 
 def revision_of(id_col: str = "id", version_col: str = "version", content_col: str = "content") -> Column:
@@ -26,23 +25,23 @@ def apply_mutations(units: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFr
     """(units, audit, conflicts) after compare-and-set operations.
 
     units: region_id, id, content, lifecycle, version, supersedes, weight, updated_s.
-    ops: op_seq, region_id, target_id, expected_revision, action, new_content, at_s. The
-    earliest operation on a target wins; later ones and stale ones are conflicts.
+    ops: op_seq, region_id, target_id, expected_revision, action, new_content, at_s. Of the valid
+    operations on a target the earliest wins and later ones are conflicts; one that is refused for
+    its own sake stands in nobody's way.
     """
     keys = ["region_id", "id"]
-    marked = mark_first(ops.withColumnRenamed("target_id", "id"), keys, "op_seq", "earliest")
     current = units.select(
         *keys, F.lit(True).alias("found"), F.col("content").alias("before"), F.col("lifecycle").alias("was"),
         revision_of().alias("revision"), F.col("version").alias("old_version"),
     )
-    judged = marked.join(current, keys, "left").withColumn(
+    judged = ops.withColumnRenamed("target_id", "id").join(current, keys, "left").withColumn(
         "reason",
         F.when(~F.col("action").isin(*MUTATIONS), "unknown action")
         .when(F.col("found").isNull(), "not found")
-        .when(~F.col("earliest"), "concurrent operation")
         .when(F.col("revision") != F.col("expected_revision"), "stale revision")
         .when((F.col("was") == "forgotten") & (F.col("action") != "purge"), "forgotten"),
     )
+    judged = _earliest_of_valid(judged, keys, "concurrent operation")
     accepted = judged.filter(F.col("reason").isNull())
     new_id = F.concat(F.lit("unit:"), F.substring(joined_digest("region_id", "id", F.col("op_seq").cast("string")), 1, 32))
     applied = units.join(accepted.select(*keys, "action", "new_content", "at_s"), keys, "left")
@@ -89,9 +88,38 @@ def apply_mutations(units: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFr
     return changed.unionByName(created.select(*units.columns)), audit, conflicts
 
 
+def _earliest_of_valid(judged: DataFrame, keys: list[str], reason: str) -> DataFrame:
+    """``judged`` with ``reason`` for every row without one that is not the earliest such row of its key."""
+    valid = mark_first(judged.filter(F.col("reason").isNull()), keys, "op_seq", "earliest")
+    late = valid.withColumn("reason", F.when(~F.col("earliest"), reason)).drop("earliest")
+    return late.unionByName(judged.filter(F.col("reason").isNotNull()))
+
+
 def version_chains(units: DataFrame) -> DataFrame:
     """Lineage of every unit along ``supersedes``: lineage_id, position, latest_id and length.
 
+    Units that lead into a cycle have no first version and are left out; ``version_cycles`` has them.
+    """
+    state, first = _roots(units)
+    sound = state.join(first, F.col("root") == F.col("first_id"), "left_semi")
+    lineages = sound.groupBy("root").agg(
+        F.max_by("id", F.struct("steps", "id")).alias("latest_id"), F.count(F.lit(1)).alias("length")
+    )
+    return sound.join(lineages, "root").select(
+        "id", F.col("root").alias("lineage_id"), (F.col("steps") + 1).alias("position"), "latest_id", "length"
+    )
+
+
+def version_cycles(units: DataFrame) -> DataFrame:
+    """(id, reason) of units whose predecessors never reach a first version."""
+    state, first = _roots(units)
+    lost = state.join(first, F.col("root") == F.col("first_id"), "left_anti")
+    return lost.select("id", F.lit("versions supersede each other in a cycle").alias("reason"))
+
+
+def _roots(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, root, steps) along ``supersedes``, and the ids of first versions.
+
     Pointers to the predecessor are doubled until all reach the first version, so a lineage of
     n versions takes about log2(n) equi-joins on unique ids. Each round is checkpointed.
     """
@@ -104,7 +132,8 @@ def version_chains(units: DataFrame) -> DataFrame:
             F.when(F.col("known"), 1).otherwise(0).cast("long").alias("steps"),
         )
     )
-    # n versions need at most log2(n) doublings; more means that a cycle never settles.
+    first = state.filter(F.col("id") == F.col("root")).filter("steps = 0").select(F.col("id").alias("first_id"))
+    # n versions need at most log2(n) doublings; what still moves then runs round a cycle.
     for _ in range(state.count().bit_length() + 2):
         ahead = state.select(F.col("id").alias("root"), F.col("root").alias("next_root"), F.col("steps").alias("next_steps"))
         state = cut_lineage(
@@ -118,17 +147,7 @@ def version_chains(units: DataFrame) -> DataFrame:
         if state.filter("moved").isEmpty():
             break
         state = state.drop("moved")
-    else:
-        raise ValueError(CYCLE)
-    # A cycle of 2, 4, 8 ... versions folds onto itself, at a distance no first version has.
-    if not state.filter((F.col("id") == F.col("root")) & (F.col("steps") > 0)).isEmpty():
-        raise ValueError(CYCLE)
-    lineages = state.groupBy("root").agg(
-        F.max_by("id", F.struct("steps", "id")).alias("latest_id"), F.count(F.lit(1)).alias("length")
-    )
-    return state.join(lineages, "root").select(
-        "id", F.col("root").alias("lineage_id"), (F.col("steps") + 1).alias("position"), "latest_id", "length"
-    )
+    return state.select("id", "root", "steps"), first
 
 
 def restore_versions(units: DataFrame, ops: DataFrame, chains: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -155,13 +174,13 @@ def restore_versions(units: DataFrame, ops: DataFrame, chains: DataFrame | None
         .join(current, ["region_id", "current_id"], "left")
         .join(latest, "latest_id", "left")
     )
-    judged = mark_first(judged, ["old_lineage"], "op_seq", "earliest").withColumn(
+    judged = judged.withColumn(
         "reason",
         F.when(F.col("old_lineage").isNull() | F.col("current_lineage").isNull(), "not found")
         .when(F.col("old_lineage") != F.col("current_lineage"), "different lineage")
-        .when((F.col("latest_lifecycle") == "active") & (F.col("latest_content") == F.col("old_content")), "already active")
-        .when(~F.col("earliest"), "concurrent restore"),
+        .when((F.col("latest_lifecycle") == "active") & (F.col("latest_content") == F.col("old_content")), "already active"),
     )
+    judged = _earliest_of_valid(judged, ["old_lineage"], "concurrent restore")
     accepted = judged.filter(F.col("reason").isNull())
     created = accepted.select(
         "region_id",

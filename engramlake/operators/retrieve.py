@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramlake.functions.text import terms_of
@@ -244,9 +244,8 @@ def apply_rerank(hits: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFra
         "query_id", (F.col("index") + 1).alias("rank"), F.col("score").alias("rerank_score")
     )
     joined = hits.join(positioned, ["query_id", "rank"], "left")
-    reordered = top_rows(
-        joined, ["query_id"], [F.col("rerank_score").desc_nulls_last(), F.col("rank")], CANDIDATE_CAP, "final_rank"
-    )
+    order = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc_nulls_last(), F.col("rank"))
+    reordered = joined.withColumn("final_rank", F.row_number().over(order))
     return reordered, judged.filter(~F.col("usable")).select("query_id", F.lit("unusable rerank scores").alias("reason"))
 
 

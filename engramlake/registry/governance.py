@@ -13,8 +13,9 @@ OPS = """SELECT CAST(substr(id, 2) AS BIGINT) AS op_seq, region_id, CASE WHEN up
  updated_s % 13 = 0 AS stale, CASE CAST(updated_s % 7 AS INT) WHEN 0 THEN 'supersede' WHEN 1 THEN 'overwrite' WHEN 2 THEN 'archive' WHEN 3 THEN 'forget' WHEN 4 THEN 'downweight' WHEN 5 THEN 'purge' ELSE 'rename' END AS action,
  concat('New text of ', id) AS new_content, updated_s + 100 AS at_s FROM {versioned}
  UNION ALL SELECT CAST(substr(id, 2) AS BIGINT) + 100000000, region_id, id, id, version, content, false, 'archive', '', updated_s + 200 FROM {versioned} WHERE updated_s % 19 = 0"""
-JUDGED_OPS = """SELECT *, CASE WHEN action = 'rename' THEN 'unknown action' WHEN was IS NULL THEN 'not found' WHEN rn > 1 THEN 'concurrent operation' WHEN stale THEN 'stale revision' WHEN was = 'forgotten' AND action <> 'purge' THEN 'forgotten' END AS reason FROM (
- SELECT o.*, u.lifecycle AS was, row_number() OVER (PARTITION BY o.region_id, o.target_id ORDER BY op_seq) AS rn FROM {ops} o LEFT JOIN {versioned} u ON u.id = o.target_id AND u.region_id = o.region_id) j"""
+JUDGED_OPS = """SELECT *, coalesce(own_reason, CASE WHEN row_number() OVER (PARTITION BY region_id, target_id, own_reason IS NULL ORDER BY op_seq) > 1 THEN 'concurrent operation' END) AS reason FROM (
+ SELECT o.*, CASE WHEN action = 'rename' THEN 'unknown action' WHEN u.lifecycle IS NULL THEN 'not found' WHEN stale THEN 'stale revision' WHEN u.lifecycle = 'forgotten' AND action <> 'purge' THEN 'forgotten' END AS own_reason
+ FROM {ops} o LEFT JOIN {versioned} u ON u.id = o.target_id AND u.region_id = o.region_id) j"""
 
 
 @query(

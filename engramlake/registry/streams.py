@@ -157,7 +157,7 @@ def _classify_promotions(t):
     return hooks.classify_promotions(contexts).select("id", F.get_json_object("raw", "$.category").alias("category"))
 
 
-@query("udf4_embed_text", "SELECT id, 64 AS n_values, length(content) > 0 AS unit_norm FROM {units}")
+@query("udf4_embed_text", r"SELECT id, 64 AS n_values, regexp_matches(content, '[\pL\pN_]') AS unit_norm FROM {units}")
 def _embed_text(t):
     embedded = hooks.embed_text(t.units.select("id", "content"), "content", 64)
     squares = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))

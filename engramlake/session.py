@@ -25,9 +25,11 @@ def build_session(app_name: str = "engramlake", master: str | None = None, **con
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
+    """The shared folder the cluster names; a temporary one only on a single machine that names none."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="engramlake-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")

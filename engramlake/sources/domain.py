@@ -23,7 +23,7 @@ DOMAIN_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "regions": (
         ("nation", "region"),
-        """SELECT concat('topic-', CAST(n_nationkey AS STRING)) AS region_id, 'topic' AS kind, n_name AS name FROM {nation} WHERE n_nationkey < 10
+        """SELECT concat('topic-', CAST(n_nationkey AS STRING)) AS region_id, 'topic' AS kind, n_name AS name FROM {nation}
  UNION ALL SELECT concat('project-', CAST(r_regionkey AS STRING)), 'project', r_name FROM {region}
  UNION ALL SELECT 'user', 'user', 'user'""",
     ),
@@ -90,13 +90,13 @@ DOMAIN_SQL: dict[str, tuple[tuple[str, ...], str]] = {
 SPREAD_KEYS = {"documents": "doc_id", "lineitem": "l_orderkey"}
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a table stored in fewer splits than there are cores.
+SPREAD_SETTING = "spark.engramlake.spreadTables"
+
 
-    A table of cluster size has far more splits than that and is returned unchanged.
-    """
-    parallelism = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(parallelism, key) if rows.rdd.getNumPartitions() < parallelism else rows
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Deal a table out by its key where the session asks for it: for tables stored as one small file."""
+    wanted = rows.sparkSession.conf.get(SPREAD_SETTING, None)
+    return rows.repartition(int(wanted), key) if wanted else rows
 
 
 class Tables:

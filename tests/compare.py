@@ -75,7 +75,7 @@ def main(argv: list[str]) -> int:
         for module in modules:
             importlib.import_module(f"engramlake.registry.{module}")
     spark = build_session(
-        master="local[8]", **{"spark__sql__shuffle__partitions": "8", "spark__ui__enabled": "false", "spark__ui__showConsoleProgress": "false", "spark__driver__memory": "8g"}
+        master="local[8]", **{"spark__sql__shuffle__partitions": "8", "spark__engramlake__spreadTables": "8", "spark__ui__enabled": "false", "spark__ui__showConsoleProgress": "false", "spark__driver__memory": "8g"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(path)

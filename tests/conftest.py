@@ -20,6 +20,7 @@ def spark():
         "local[8]",
         **{
             "spark__sql__shuffle__partitions": "8",
+            "spark__engramlake__spreadTables": "8",
             "spark__ui__enabled": "false",
             "spark__ui__showConsoleProgress": "false",
             "spark__driver__memory": "8g",

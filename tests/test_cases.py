@@ -189,10 +189,55 @@ def test_preference_claims_share_a_subject(spark):
     assert missing.first().reason == "claim identity is missing"
 
 
-def test_a_supersede_cycle_is_an_error(spark):
-    for cycle in ([("a", "b"), ("b", "a")], [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")]):
-        with pytest.raises(ValueError):
-            govern.version_chains(spark.createDataFrame(cycle, "id string, supersedes string"))
+def test_a_supersede_cycle_is_set_apart(spark):
+    for cycle in ([("a", "b"), ("b", "a")], [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], [("a", "a")]):
+        rows = spark.createDataFrame(cycle + [("x", None), ("y", "x"), ("z", "gone")], "id string, supersedes string")
+        assert {(r.id, r.lineage_id, r.length) for r in govern.version_chains(rows).collect()} == {("x", "x", 2), ("y", "x", 2), ("z", "z", 1)}
+        assert {r.id for r in govern.version_cycles(rows).collect()} == {i for i, _ in cycle}
+
+
+def test_a_refused_operation_stands_in_nobodys_way(spark):
+    units = spark.createDataFrame([("r", "u", "text", "active", 1, None, 1.0, 5)], "region_id string, id string, content string, lifecycle string, version int, supersedes string, weight double, updated_s long")
+    right = units.select(govern.revision_of().alias("x")).first().x
+    ops = spark.createDataFrame(
+        [(1, "r", "u", "old", "archive", None, 6), (2, "r", "u", right, "rename", None, 7), (3, "r", "u", right, "archive", None, 8), (4, "r", "u", right, "forget", None, 9)],
+        "op_seq long, region_id string, target_id string, expected_revision string, action string, new_content string, at_s long",
+    )
+    changed, audit, conflicts = govern.apply_mutations(units, ops)
+    assert [r.lifecycle for r in changed.collect()] == ["archived"] and [r.op_seq for r in audit.collect()] == [3]
+    assert {r.op_seq: r.reason for r in conflicts.collect()} == {1: "stale revision", 2: "unknown action", 4: "concurrent operation"}
+
+
+def test_a_refused_restore_stands_in_nobodys_way(spark):
+    units = spark.createDataFrame(
+        [("r", "a", "one", "superseded", 1, None), ("r", "b", "two", "active", 2, "a")], "region_id string, id string, content string, lifecycle string, version int, supersedes string"
+    ).withColumn("updated_s", F.lit(1).cast("long"))
+    ops = spark.createDataFrame([(1, "r", "b", "b", 5), (2, "r", "b", "a", 6), (3, "r", "b", "a", 7)], "op_seq long, region_id string, current_id string, restore_id string, at_s long")
+    created, replaced, rejects = govern.restore_versions(units, ops)
+    assert [(r.content, r.version, r.supersedes) for r in created.collect()] == [("one", 3, "b")] and replaced.count() == 1
+    assert {r.op_seq: r.reason for r in rejects.collect()} == {1: "already active", 3: "concurrent restore"}
+
+
+def test_long_words_do_not_stop_the_screening(spark):
+    long = ["key = 1 " + "a_" * 32_000, "a-" * 32_000 + "password=s3cr3t", "x=" + "vault://" + "a/" * 32_000, "token: vault://" + "a/" * 30_000 + "b#c", "p_" * 20_000 + "token_" * 5000, "a=1 secret=b; " * 4000]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(long)], "k int, t string")
+    assert {r.k: r.x for r in rows.select("k", is_sensitive(F.col("t")).alias("x")).collect()} == {0: False, 1: True, 2: False, 3: False, 4: False, 5: True}
+
+
+@pytest.mark.parametrize("length", [5, 36])
+def test_a_chain_of_aliases_is_one_entity(spark, length):
+    schema = "region_id string, memory_id string, updated_s long, position int, entity_type string, canonical_name string, aliases array<string>"
+    rows = spark.createDataFrame([("r", f"m{k:03d}", k, 0, "project", f"Name{k}", [f"Name{k - 1}"] if k else []) for k in range(length)], schema)
+    known = rows.limit(0).select("region_id", "entity_type", F.lit("").alias("normalized_alias"), F.lit("").alias("entity_id"), F.lit(True).alias("canonical"))
+    resolved, refused = entities.resolve_identity(rows, known)
+    assert refused.count() == 0 and resolved.select("entity_id").distinct().count() == 1 and resolved.count() == length
+
+
+def test_reranking_keeps_every_hit(spark):
+    hits = spark.range(600).select(F.lit("q").alias("query_id"), (F.col("id") + 1).cast("int").alias("rank"), F.col("id").cast("string").alias("id"))
+    scores = spark.range(600).select(F.lit("q").alias("query_id"), F.col("id").cast("int").alias("index"), F.col("id").cast("double").alias("score"))
+    kept, refused = retrieve.apply_rerank(hits, scores)
+    assert refused.count() == 0 and kept.count() == 600 and kept.filter("final_rank = 1").first().id == "599"
 
 
 def test_long_lineage(spark):
