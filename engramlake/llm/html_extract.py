@@ -269,6 +269,15 @@ def _extract(model: BlockLabeller):
     return run
 
 
+def _sample(rows: DataFrame, count: int) -> DataFrame:
+    """One html of each of ``count`` pages: those whose identifiers have the smallest hashes."""
+    ids = rows.filter("html is not null and page_id is not null").select("page_id")
+    place = F.xxhash64("page_id") / F.lit(2.0**64) + 0.5
+    share = 4.0 * count / max(1, ids.count())  # far more than needed, yet few rows reach the sort
+    chosen = ids.filter(place < share).distinct().orderBy(place, "page_id").limit(count)
+    return rows.filter("html is not null").join(F.broadcast(chosen), "page_id").groupBy("page_id").agg(F.max("html").alias("html")).orderBy("page_id")
+
+
 def extract_main_text(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html).
 
@@ -276,7 +285,5 @@ def extract_main_text(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataF
     repeated; other columns are ignored; an empty table gives no rows. n_chars counts code points.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    by_hash = rows.filter("html is not null").select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id")
-    sample = by_hash.select("html").limit(train_pages)
-    model = train([r.html for r in sample.collect()])
+    model = train([r.html for r in _sample(rows, train_pages).collect()])
     return rows.mapInArrow(_extract(model), "page_id long, url string, text string, n_chars long")

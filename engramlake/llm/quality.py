@@ -167,7 +167,10 @@ def _scores(model: BradleyTerry):
 def train(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> BradleyTerry:
     """Fit on at most ``rows`` labelled documents that are not held out. Repeated labels of an id count by their mean."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    chosen = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    open_rows = known.filter(~held_out(F.col("doc_id")))
+    place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
+    share = 2.0 * rows / max(1, open_rows.count())  # more than needed, yet few rows reach the sort
+    chosen = open_rows.filter(place < share).orderBy(place, "doc_id").limit(rows)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = texts.join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(_feature_rows, "quality int, x array<double>").toArrow()
     x = np.array(sample.column("x").to_pylist(), np.float64).reshape(-1, FEATURES)
