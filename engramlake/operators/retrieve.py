@@ -57,10 +57,13 @@ def query_terms(queries: DataFrame, col: str = "query") -> DataFrame:
     return queries.select(*keep, F.explode(F.array_distinct(terms_of(F.col(col)))).alias("term"))
 
 
-def bm25_search(queries: DataFrame, index: TextIndex, k: int, condition: Column | None = None) -> DataFrame:
+def bm25_search(
+    queries: DataFrame, index: TextIndex, k: int, condition: Column | None = None, scopes: DataFrame | None = None
+) -> DataFrame:
     """Top ``k`` documents per query with positive score.
 
-    ``condition`` filters postings before ranking. Weights are joined to the postings by
+    ``condition`` filters postings before ranking; ``scopes`` (query_id, region_id) names the only
+    regions in which each query may find anything, and no scope means no hit. Weights are joined to the postings by
     term: Spark broadcasts them when its size estimate allows, and otherwise splits hot terms
     as skewed join partitions. Scores are pre-aggregated before the (query, id) shuffle.
     """
@@ -71,8 +74,11 @@ def bm25_search(queries: DataFrame, index: TextIndex, k: int, condition: Column
         "idf", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     )
     norm = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("doc_len") / avg_len)
+    weights, on = weights.select("query_id", "term", "idf"), ["term"]
+    if scopes is not None:
+        weights, on = weights.join(scopes.select("query_id", "region_id").distinct(), "query_id"), ["term", "region_id"]
     scored = (
-        postings.join(weights.select("query_id", "term", "idf"), "term")
+        postings.join(weights, on)
         .groupBy("query_id", "id")
         .agg(F.round(F.sum(F.col("idf") * F.col("tf") * (BM25_K1 + 1) / norm), 6).alias("score"))
         .filter(F.col("score") > 0)
@@ -80,11 +86,15 @@ def bm25_search(queries: DataFrame, index: TextIndex, k: int, condition: Column
     return top_rows(scored, ["query_id"], [F.col("score").desc(), F.col("id")], k)
 
 
-def keyword_search(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
-    """Fallback without an index: rank by the number of query terms a unit contains."""
-    words = units.select("id", F.explode(F.array_distinct(terms_of(F.col("content")))).alias("term"))
+def keyword_search(queries: DataFrame, units: DataFrame, k: int, scopes: DataFrame | None = None) -> DataFrame:
+    """Fallback without an index: rank by the number of query terms a unit contains, within ``scopes`` where given."""
+    place = [] if scopes is None else ["region_id"]
+    words = units.select("id", *place, F.explode(F.array_distinct(terms_of(F.col("content")))).alias("term"))
+    wanted = query_terms(queries).select("query_id", "term")
+    if scopes is not None:
+        wanted = wanted.join(scopes.select("query_id", "region_id").distinct(), "query_id")
     matched = (
-        words.join(query_terms(queries).select("query_id", "term"), "term")
+        words.join(wanted, ["term", *place])
         .groupBy("query_id", "id")
         .agg(F.count(F.lit(1)).alias("matches"))
     )
@@ -105,30 +115,39 @@ def vector_search(
     min_similarity: float | None = None,
     rows_per_shard: int = 65_536,
     queries_per_block: int = 1_024,
+    scopes: DataFrame | None = None,
 ) -> DataFrame:
     """Exact cosine top ``k`` for every query.
 
     Vectors are hashed into shards and queries into blocks, both of bounded size; one task
     multiplies one shard with one block and returns at most ``k`` rows per query. A pair of
-    different or zero length scores -1.
+    different or zero length scores -1. With ``scopes`` (query_id, region_id) a query only meets the
+    vectors of its regions, and ``vectors`` has region_id.
     """
     shards = max(1, math.ceil(vectors.count() / rows_per_shard))
     blocks = max(1, math.ceil(queries.count() / queries_per_block))
 
+    place = [] if scopes is None else ["region_id"]
+    if scopes is not None:
+        queries = queries.join(scopes.select("query_id", "region_id").distinct(), "query_id")
+
     def numbered(df: DataFrame, id_col: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         return df.select(
             F.col(id_col),
             F.col("vector"),
+            *place,
             F.pmod(F.xxhash64(id_col), F.lit(n_own)).cast("int").alias(own),
             F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other),
         )
 
     left = numbered(vectors, "id", "shard", shards, "block", blocks)
     right = numbered(queries, "query_id", "block", blocks, "shard", shards)
-    cells = ["shard", "block"]
+    cells = [*place, "shard", "block"]
 
     def best(shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        found: list[pd.DataFrame] = []
+        asked_ids: list[str] = []
+        found_ids: list[str] = []
+        found_scores: list[float] = []
         sizes = shard["vector"].map(lambda v: 0 if v is None else len(v))
         wanted = block["vector"].map(lambda v: 0 if v is None else len(v))
         for width in sorted(set(wanted)):
@@ -144,10 +163,12 @@ def vector_search(
             rounded = np.round(scores, 6)
             for row, query_id in enumerate(asked["query_id"]):
                 order = np.lexsort((ids.astype(str), -rounded[row]))[:k]
-                found.append(pd.DataFrame({"query_id": query_id, "id": ids[order], "score": rounded[row][order]}))
-        if not found:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        return pd.concat(found)
+                asked_ids += [query_id] * len(order)
+                found_ids += ids[order].tolist()
+                found_scores += rounded[row][order].tolist()
+        return pd.DataFrame(
+            {"query_id": np.array(asked_ids, object), "id": np.array(found_ids, object), "score": np.array(found_scores, np.float64)}
+        )
 
     partial = left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInPandas(
         best, "query_id string, id string, score double"

@@ -20,18 +20,25 @@ def recall_hits(
     edges: DataFrame | None = None,
     hops: int = 1,
     include_history: bool = False,
+    scopes: DataFrame | None = None,
 ) -> DataFrame:
-    """Fused hits of the available channels; raw and invisible units never enter the ranking."""
+    """Fused hits of the available channels; raw and invisible units never enter the ranking.
+
+    ``scopes`` (query_id, region_id) bounds every channel before it ranks anything. Edges then have a scope.
+    """
     lifecycles = VISIBLE_LIFECYCLES if include_history else ("active",)
     eligible = recall_eligible(units.filter(F.col("lifecycle").isin(*lifecycles)))
-    text_hits = bm25_search(queries, build_text_index(eligible), limit)
+    text_hits = bm25_search(queries, build_text_index(eligible), limit, scopes=scopes)
     channels = text_hits.select("query_id", "id", F.lit("bm25").alias("channel"), "rank")
     if vectors is not None and query_vectors is not None:
-        dense = vector_search(query_vectors, vectors.join(eligible.select("id"), "id", "left_semi"), limit, min_similarity=0.2)
+        dense = vector_search(
+            query_vectors, vectors.join(eligible.select("id", "region_id"), "id"), limit, min_similarity=0.2, scopes=scopes
+        )
         channels = channels.unionByName(dense.select("query_id", "id", F.lit("vector").alias("channel"), "rank"))
     if edges is not None:
         seeds = channels.groupBy("query_id", "id").agg(F.min("rank").alias("position"))
-        expanded = graph_expand(seeds, edges, hops, nodes=eligible.select("id"))
+        within = None if scopes is None else scopes.withColumnRenamed("region_id", "scope")
+        expanded = graph_expand(seeds, edges, hops, nodes=eligible.select("id"), scopes=within)
         channels = channels.unionByName(
             expanded.select("query_id", "id", F.lit("graph").alias("channel"), F.col("position").alias("rank"))
         )

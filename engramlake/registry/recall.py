@@ -120,6 +120,51 @@ def _keyword_search(t):
     return retrieve.keyword_search(t.recall_queries, recall_eligible(t.units), 10)
 
 
+# Every query may look into the user region and one topic; all other regions are foreign to it.
+SCOPES = """SELECT query_id, 'user' AS region_id FROM {recall_queries}
+ UNION ALL SELECT query_id, concat('topic-', CAST(CAST(substr(query_id, 2) AS BIGINT) % 10 AS STRING)) FROM {recall_queries}"""
+SCOPED = TEXT_CTES | {"scopes": SCOPES}
+
+
+@query(
+    "ret3_scoped_bm25_search",
+    """SELECT query_id, id, score, rank FROM (SELECT s.*, row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, id) AS rank FROM {scored} s
+ JOIN (SELECT DISTINCT id, region_id FROM {tokenized}) u USING (id) JOIN {scopes} o ON o.query_id = s.query_id AND o.region_id = u.region_id WHERE score > 0) r WHERE rank <= 10""",
+    **SCOPED,
+)
+def _scoped_bm25_search(t):
+    return retrieve.bm25_search(t.recall_queries, text_index(t), 10, scopes=t.sql(SCOPES, "recall_queries"))
+
+
+@query(
+    "ret6_scoped_keyword_search",
+    """SELECT query_id, id, matches, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, id) AS rank FROM (
+ SELECT q.query_id, p.id, count(*) AS matches FROM {query_terms} q JOIN {postings} p ON p.term = q.term JOIN {scopes} o ON o.query_id = q.query_id AND o.region_id = p.region_id GROUP BY 1, 2) m) r WHERE rank <= 10""",
+    **SCOPED,
+)
+def _scoped_keyword_search(t):
+    return retrieve.keyword_search(t.recall_queries, recall_eligible(t.units), 10, scopes=t.sql(SCOPES, "recall_queries"))
+
+
+# Query vectors of a label, allowed into two of the vectors' regions.
+PLACED_VECTORS = "SELECT v.*, u.region_id FROM {vectors} v JOIN {units} u ON u.id = v.id"
+LABEL_SCOPES = """SELECT DISTINCT scope_space AS query_id, 'user' AS region_id FROM {vectors} UNION ALL SELECT DISTINCT scope_space, 'project-2' FROM {vectors}"""
+
+
+@query(
+    "ret4_scoped_vector_search",
+    """SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+ SELECT q.query_id, v.id, round(list_cosine_similarity(CAST(q.vector AS DOUBLE[]), CAST(v.vector AS DOUBLE[])), 6) AS score FROM {label_queries} q
+ JOIN {label_scopes} o ON o.query_id = q.query_id JOIN {placed_vectors} v ON v.region_id = o.region_id) s) r WHERE rank <= 10""",
+    label_queries=LABEL_QUERIES,
+    placed_vectors=PLACED_VECTORS,
+    label_scopes=LABEL_SCOPES,
+)
+def _scoped_vector_search(t):
+    vectors = t.sql(PLACED_VECTORS, "vectors", "units").select("id", "vector", "region_id")
+    return retrieve.vector_search(t.sql(LABEL_QUERIES, "vectors"), vectors, 10, scopes=t.sql(LABEL_SCOPES, "vectors"))
+
+
 AUDIT_HITS = """SELECT target_space AS query_id, concat('e', CAST(seq AS STRING)) AS id, value AS score, action = 'error' AS excluded FROM {audit}"""
 
 

@@ -75,22 +75,22 @@ def _read_captures(t):
     "src3_parse_extractions",
     """SELECT unit_id, CASE WHEN k = 0 THEN 'malformed_json' WHEN k = 1 THEN 'malformed_json' WHEN k = 2 THEN 'malformed_memories'
  ELSE 'parsed' END AS outcome, CASE WHEN k > 2 THEN k % 4 ELSE 0 END AS n_memories,
- CASE WHEN k > 2 AND k % 4 > 0 THEN source END AS first_content
- FROM (SELECT concat('u', CAST(doc_id AS STRING)) AS unit_id, source, CAST(doc_id % 13 AS INT) AS k FROM {documents}) d""",
+ CASE WHEN k > 2 AND k % 4 > 0 THEN text END AS first_content
+ FROM (SELECT concat('u', CAST(doc_id AS STRING)) AS unit_id, text, CAST(doc_id % 13 AS INT) AS k FROM {documents}) d""",
 )
 def _parse_extractions(t):
     rows = t.sql(
-        "SELECT concat('u', CAST(doc_id AS STRING)) AS unit_id, source, CAST(doc_id % 13 AS INT) AS k FROM {documents}",
+        "SELECT concat('u', CAST(doc_id AS STRING)) AS unit_id, text, CAST(doc_id % 13 AS INT) AS k FROM {documents}",
         "documents",
     )
-    item = F.struct(F.col("source").alias("content"), F.lit("domain_fact").alias("memory_type"), F.lit(0.95).alias("confidence"))
+    item = F.struct(F.col("text").alias("content"), F.lit("domain_fact").alias("memory_type"), F.lit(0.95).alias("confidence"))
 
     def body(count):
         return F.to_json(F.struct(F.array_repeat(item, count).alias("memories")))
 
     raw = (
         F.when(F.col("k") == 0, F.concat(F.lit("["), body(F.lit(1)), F.lit("]")))
-        .when(F.col("k") == 1, F.expr("left(source, 2)"))
+        .when(F.col("k") == 1, F.concat(F.lit("{"), F.expr("left(text, 2)")))
         .when(F.col("k") == 2, body(F.lit(21)))
         .otherwise(body(F.col("k") % 4))
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from engramlake.functions.sensitive import is_sensitive
 from engramlake.functions.windows import carry_last, running_totals
+from engramlake.plans import recall
 from engramlake.operators import capture, distill, entities, govern, promote, related, retrieve
 
 SENSITIVE = [
@@ -233,6 +234,23 @@ def test_a_chain_of_aliases_is_one_entity(spark, length):
     assert refused.count() == 0 and resolved.select("entity_id").distinct().count() == 1 and resolved.count() == length
 
 
+def test_recall_never_leaves_its_scope(spark):
+    """A foreign unit, vector or edge is not found, however well it fits."""
+    units = spark.createDataFrame(
+        [(i, r, "decision", "active", c, "s") for i, r, c in [("a1", "A", "alpha beta"), ("a2", "A", "gamma"), ("b1", "B", "alpha beta alpha"), ("b2", "B", "delta")]],
+        "id string, region_id string, memory_type string, lifecycle string, content string, source string",
+    )
+    vectors = spark.createDataFrame([("a1", [1.0, 0.1]), ("b1", [1.0, 0.0])], "id string, vector array<double>")
+    edges = spark.createDataFrame([("A", "a1", "a2", "r"), ("B", "a1", "b2", "r")], "scope string, source string, target string, relation string")
+    queries = spark.createDataFrame([("q", "alpha beta"), ("none", "alpha")], "query_id string, query string")
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vector array<double>")
+    scopes = spark.createDataFrame([("q", "A")], "query_id string, region_id string")
+    found = recall.recall_hits(queries, units, vectors=vectors, query_vectors=asked, edges=edges, scopes=scopes).collect()
+    assert {(r.query_id, r.id) for r in found} == {("q", "a1"), ("q", "a2")}
+    free = recall.recall_hits(queries, units, vectors=vectors, query_vectors=asked, edges=edges.drop("scope")).collect()
+    assert {r.id for r in free if r.query_id == "q"} == {"a1", "a2", "b1", "b2"}
+
+
 def test_reranking_keeps_every_hit(spark):
     hits = spark.range(600).select(F.lit("q").alias("query_id"), (F.col("id") + 1).cast("int").alias("rank"), F.col("id").cast("string").alias("id"))
     scores = spark.range(600).select(F.lit("q").alias("query_id"), F.col("id").cast("int").alias("index"), F.col("id").cast("double").alias("score"))
