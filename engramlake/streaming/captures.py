@@ -11,7 +11,7 @@ from engramlake.sources.captures import CAPTURE_FIELDS, CORRUPT, READ_SCHEMA, sp
 # Fixed value: backlog records handled per run.
 REPLAY_FILES = 8
 DEDUP_WATERMARK = "7 days"
-HISTORY_DAYS = 7
+ID_BUCKETS = 64
 
 
 def read_capture_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -47,25 +47,22 @@ def ingest_captures(
 ) -> StreamingQuery:
     """Append first arrivals to ``events_path`` and divert conflicting ids to ``conflicts_path``.
 
-    Exact repeats are dropped in stream state. Only the days a batch touches, widened by the
-    watermark, are read back to find ids that exist with other content. A batch writes its own
-    partition, so repeating it after a failure replaces what it wrote.
+    Events may come in any order and at any age: nothing is late. Stored events lie in buckets by a
+    hash of their id, and ids and digests of the buckets that a batch touches are read back to drop
+    exact repeats and to find ids that exist with other content. A batch writes its own partition, so repeating
+    it after a failure replaces what it wrote.
     """
     keep = [*CAPTURE_FIELDS, "instant", "content_hash"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        rows = batch.select(*keep).withColumn("day", F.to_date("instant")).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        rows = rows.persist()
+        bucket = F.pmod(F.xxhash64("event_id"), F.lit(ID_BUCKETS)).cast("int")
+        rows = batch.select(*keep).dropDuplicates(["event_id", "content_hash"])
+        rows = rows.withColumn("bucket", bucket).withColumn("batch_id", F.lit(batch_id).cast("long")).persist()
         try:
             schema = rows.schema
-            span = rows.agg(F.min("day").alias("low"), F.max("day").alias("high"))
-            history = _stored(session, events_path, batch_id, schema)
-            bounds = span.first()
-            if bounds is not None and bounds.low is not None:
-                history = history.filter(
-                    F.col("day").between(F.date_sub(F.lit(bounds.low), HISTORY_DAYS), F.date_add(F.lit(bounds.high), HISTORY_DAYS))
-                )
+            touched = F.broadcast(rows.select("bucket").distinct())  # at most ID_BUCKETS rows
+            history = _stored(session, events_path, batch_id, schema).join(touched, "bucket", "left_semi")
             known = history.groupBy("event_id").agg(F.min_by("content_hash", "batch_id").alias("known_hash"))
             first = rows.groupBy("event_id").agg(
                 F.min_by("content_hash", F.struct("instant", "content_hash")).alias("first_hash")
@@ -79,14 +76,15 @@ def ingest_captures(
                     frame.select(*schema.names)
                     .write.mode("overwrite")
                     .option("partitionOverwriteMode", "dynamic")
-                    .partitionBy("batch_id", "day")
+                    .partitionBy("batch_id", "bucket")
                     .parquet(path)
                 )
         finally:
             rows.unpersist()
 
+    valid, _ = split_captures(read_capture_stream(spark, source, max_files))
     return (
-        stream_captures(spark, source, max_files)
+        valid.withColumn("content_hash", F.sha2("content", 256))
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

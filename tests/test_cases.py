@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from engramlake.functions.sensitive import is_sensitive
 from engramlake.functions.windows import carry_last, running_totals
 from engramlake.plans import recall
+from engramlake.streaming import captures as capture_stream
 from engramlake.operators import capture, distill, entities, govern, promote, related, retrieve
 
 SENSITIVE = [
@@ -251,6 +252,26 @@ def test_recall_never_leaves_its_scope(spark):
     assert {r.id for r in free if r.query_id == "q"} == {"a1", "a2", "b1", "b2"}
 
 
+def test_captures_of_any_age_are_kept_and_compared(spark, tmp_path):
+    """June, then January: nothing is dropped, and an id of June with other content in January is a conflict."""
+    import json
+
+    def spool(name, *events):
+        lines = [json.dumps({"event_id": e, "session_id": "s", "turn_id": "t", "event_kind": "user", "content": c, "occurred_at": at, "cwd": "/w"}) for e, c, at in events]
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("\n".join(lines))
+        paths = [str(tmp_path / n) for n in ("in", "events", "conflicts", "progress")]
+        capture_stream.ingest_captures(spark, *paths).awaitTermination()
+
+    spool("1", ("a", "x", "2026-06-01T00:00:00Z"), ("a", "x", "2026-06-01T00:00:00Z"))
+    spool("2", ("b", "y", "2026-06-02T00:00:00Z"))
+    spool("3", ("c", "z", "2026-01-01T00:00:00Z"), ("a", "other", "2026-01-02T00:00:00Z"), ("b", "y", "2026-06-02T00:00:00Z"))
+    events = spark.read.parquet(str(tmp_path / "events")).collect()
+    assert sorted((r.event_id, r.content) for r in events) == [("a", "x"), ("b", "y"), ("c", "z")]
+    conflicts = spark.read.parquet(str(tmp_path / "conflicts")).collect()
+    assert [(r.event_id, r.content) for r in conflicts] == [("a", "other")]
+
+
 def test_reranking_keeps_every_hit(spark):
     hits = spark.range(600).select(F.lit("q").alias("query_id"), (F.col("id") + 1).cast("int").alias("rank"), F.col("id").cast("string").alias("id"))
     scores = spark.range(600).select(F.lit("q").alias("query_id"), F.col("id").cast("int").alias("index"), F.col("id").cast("double").alias("score"))
