@@ -603,12 +603,12 @@ def _ends(relations: DataFrame) -> DataFrame:
     ).select("region_id", "relation_id", "relation_type", "newest_s", "end.entity_id", "end.other_id")
 
 
-def entity_standing(graph: EntityGraph, history: bool = False) -> DataFrame:
+def entity_standing(graph: EntityGraph, history: bool = False, relations: DataFrame | None = None) -> DataFrame:
     """Visible entities with degree (distinct visible relations) and latest support time."""
     recent = _visible(graph.memory_entities, history).groupBy("region_id", "entity_id").agg(
         F.max("updated_s").alias("updated_s")
     )
-    degree = _ends(_visible_relations(graph, history)).groupBy("region_id", "entity_id").agg(
+    degree = _ends(_visible_relations(graph, history) if relations is None else relations).groupBy("region_id", "entity_id").agg(
         F.count(F.lit(1)).alias("degree")
     )
     return (
@@ -660,7 +660,8 @@ def neighborhood(
     """Bounded view around each query's seeds (query_id, region_id, entity_id, seed_rank).
 
     Each hop follows the newest relations of the frontier up to the edge budget plus one.
-    Seeds come first, then the others by standing; edges are those between kept nodes.
+    Seeds come first, then the others by standing; edges are those between kept nodes. Visible relations,
+    the selection and the kept nodes and edges are each computed once and checkpointed.
     """
     if hops not in (1, 2):
         raise ValueError("hops must be 1 or 2")
@@ -668,7 +669,7 @@ def neighborhood(
     edge_budget = min(MAX_EDGES, max(1, limit * 4))
     per_query = ["query_id", "region_id"]
     newest_first = [F.col("newest_s").desc(), F.col("relation_type"), F.col("relation_id")]
-    relations = _visible_relations(graph, history)
+    relations = cut_lineage(_visible_relations(graph, history))
     ends = _ends(relations)
     seeds = seeds.filter(F.col("seed_rank") <= limit)
     selected = seeds.select(*per_query, "entity_id", F.col("seed_rank").cast("long").alias("seed_rank"))
@@ -686,7 +687,8 @@ def neighborhood(
         selected = top_rows(
             grown, per_query, [F.col("seed_rank").asc_nulls_last(), F.col("entity_id")], MAX_NODES * 2, "n"
         ).drop("n")
-    standing = entity_standing(graph, history)
+    selected = cut_lineage(selected)
+    standing = entity_standing(graph, history, relations)
     ordered = top_rows(
         selected.join(standing, ["region_id", "entity_id"]),
         per_query,
@@ -694,6 +696,7 @@ def neighborhood(
         limit + 1,
         "position",
     )
+    ordered = cut_lineage(ordered)
     nodes = ordered.filter(F.col("position") <= limit).withColumn(
         "graph_state", F.when(F.col("seed_rank").isNotNull(), "direct").otherwise("background")
     )
@@ -702,7 +705,7 @@ def neighborhood(
         .join(relations, ["region_id", "source_entity_id"])
         .join(nodes.select(*per_query, F.col("entity_id").alias("target_entity_id")), [*per_query, "target_entity_id"], "left_semi")
     )
-    ranked = top_rows(inside, per_query, newest_first, edge_budget + 1, "position")
+    ranked = cut_lineage(top_rows(inside, per_query, newest_first, edge_budget + 1, "position"))
     flags = (
         seeds.select(*per_query).distinct()
         .join(ordered.groupBy(*per_query).agg(F.max("position").alias("n_nodes")), per_query, "left")
