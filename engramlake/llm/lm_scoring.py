@@ -139,7 +139,7 @@ class LogBilinear:
     def __init__(self, class_counts: np.ndarray, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
         classes = len(class_counts)
-        self.log_noise = np.log((class_counts + 1e-3) / (class_counts + 1e-3).sum())
+        self.log_noise = np.log((class_counts + 1e-3) / (class_counts + 1e-3).sum()).astype(np.float32)
         self.p = {
             "r": rng.normal(0, 0.3, (CONTEXTS, DIM)).astype(np.float32),
             "c1": np.eye(DIM, dtype=np.float32),
@@ -161,7 +161,7 @@ class LogBilinear:
     def start_training(self, seed: int) -> None:
         self.rng = np.random.default_rng(seed)
         self.squares = {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.p.items()}
-        self.cumulative = np.cumsum(np.exp(self.log_noise))
+        self.cumulative = np.cumsum(np.exp(self.log_noise.astype(np.float64)))
 
     def _step(self, name: str, rows: np.ndarray | None, grad: np.ndarray) -> None:
         p, s = self.p[name], self.squares[name]
@@ -179,7 +179,7 @@ class LogBilinear:
         left, right = p["r"][first], p["r"][second]
         r = left @ p["c1"] + right @ p["c2"]
         q, qn = p["q"][classes], p["q"][noise]
-        log_k = np.log(NOISE)
+        log_k = np.float32(np.log(NOISE))
         true = (r * q).sum(1) + p["b"][classes] - (log_k + self.log_noise[classes])
         false = r @ qn.T + p["b"][noise] - (log_k + self.log_noise[noise])
         size = np.float32(len(classes))

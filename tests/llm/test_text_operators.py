@@ -285,7 +285,7 @@ def test_lm_learns_order(docs):
     rng = random.Random(4)
     words = [f"w{k}" for k in range(40)]
     rows = []
-    for d in range(400):
+    for d in range(1500):
         at, text = rng.randrange(40), []
         for _ in range(150):
             text.append(words[at])
