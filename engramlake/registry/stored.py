@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from engramlake.session import scratch_path
 from engramlake.sources.domain import Tables
@@ -17,9 +18,15 @@ from engramlake.sources.domain import Tables
 _PATHS: dict[tuple[str, str, str], str] = {}
 
 
+def data_version(t: Tables) -> str:
+    """Names, sizes and times of the files below the data folder, as one number; no file is read."""
+    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(t.path)
+    return str(files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)"))).first()[0])
+
+
 def stored(t: Tables, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` derived from this data folder, written on first use."""
-    key = (t.spark.sparkContext.applicationId, t.path, name)
+    """The table ``name`` derived from this version of the data folder, written on first use."""
+    key = (t.spark.sparkContext.applicationId, f"{t.path}@{data_version(t)}", name)
     if key in _PATHS:
         try:
             return t.spark.read.parquet(_PATHS[key])
