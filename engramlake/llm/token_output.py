@@ -27,7 +27,7 @@ BLOCK_TOKENS = 4_000_000
 PAD_ID = 0
 END_ID = 1
 WRITE_ROWS = 256
-SCHEMA = "sequence_id long, n_tokens long, input_ids binary, cu_seqlens array<int>, position_ids array<int>, doc_ids array<long>, starts array<long>, doc_tokens array<long>"
+SCHEMA = "sequence_id long, n_tokens long, input_ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, starts array<long>, doc_tokens array<long>"
 
 
 class CapacityTree:
@@ -81,10 +81,11 @@ def best_fit_decreasing(sizes: np.ndarray, row: int) -> list[list[int]]:
 
 def _matrix(path: str | None, row: int, block_tokens: int):
     names = [part.split()[0] for part in SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
+        steps = np.arange(row, dtype="<u4")
         pieces: list[tuple] = []
         held = 0
 
@@ -97,9 +98,9 @@ def _matrix(path: str | None, row: int, block_tokens: int):
                 ids = np.full(row, PAD_ID, "<u4")
                 total = sum(lengths)
                 ids[:total] = np.concatenate([pieces[m][2] for m in members])
-                places = np.concatenate([np.arange(n, dtype=np.int32) for n in [*lengths, row - total]])
+                places = np.concatenate([steps[:n] for n in [*lengths, row - total]])
                 ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                out.append((number, total, ids.tobytes(), ends, places, [pieces[m][0] for m in members], [pieces[m][1] for m in members], [pieces[m][3] for m in members]))
+                out.append((number, total, ids.tobytes(), ends, places.tobytes(), [pieces[m][0] for m in members], [pieces[m][1] for m in members], [pieces[m][3] for m in members]))
                 number += 1
                 if len(out) == WRITE_ROWS:
                     yield batch(out)
@@ -128,7 +129,7 @@ def write_matrices(documents: DataFrame, folder: str, tokenizer: str | None = No
     """Write the packed rows of ``documents`` (doc_id, text) as Parquet below ``folder``.
 
     sequence_id, n_tokens, input_ids (little-endian unsigned 32-bit, padded to ``row`` with id 0), cu_seqlens (0 and the end of
-    every piece), position_ids (from 0 in every piece and in the padding), and per piece doc_ids, starts and
+    every piece), position_ids (as input_ids; from 0 in every piece and in the padding), and per piece doc_ids, starts and
     doc_tokens. Each document ends with id 1. A null text is empty and gives that id alone; repeated
     rows are packed each; a null doc_id stays null; other columns are ignored; no rows: an empty table.
     """

@@ -219,7 +219,7 @@ def test_matrices_reset_positions(docs, spark):
     for r in spark.read.parquet(folder).collect():
         assert r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens
         want = [k for a, b in zip([*r.cu_seqlens], [*r.cu_seqlens[1:], 2048], strict=True) for k in range(b - a)]
-        assert r.position_ids == want
+        assert np.frombuffer(r.position_ids, "<u4").tolist() == want
         ids = np.frombuffer(r.input_ids, "<u4")
         assert len(ids) == 2048 and not ids[r.n_tokens :].any()
 
