@@ -14,7 +14,6 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
 
 # Elements that only mark up words inside a block.
 INLINE = frozenset(
@@ -27,7 +26,7 @@ _HOLDS_PARAGRAPH = frozenset("div section article main body td th li aside heade
 
 
 def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, tag path with class, id and role words, characters inside links) of every block with text.
+    """(text, tag path with whole class, id and role names, characters inside links) of every block with text.
 
     Character references are decoded, white space inside a block is one space. Scripts, styles,
     comments and other raw elements have no blocks. Markup may be cut off anywhere.
@@ -87,7 +86,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         names = [tag]
         if rest and "=" in rest:
             for pieces in _NAMES.findall(rest):
-                names += [f"@{word}" for word in _WORD.findall("".join(pieces).lower())]
+                names += [f"@{name}" for name in "".join(pieces).lower().split()]
         stack.append((tag, tuple(names)))
     flush()
     return found

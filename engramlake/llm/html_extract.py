@@ -5,12 +5,16 @@ a few lengths; a bidirectional LSTM in numpy reads the whole page in both direct
 every block. It is trained on at most ``TRAIN_PAGES`` pages of the table, chosen by hash of their
 identifier, each also in variants with further page furniture put in (``VARIANTS``), so that
 elements which these pages happen not to have are known too. The labels to learn come from the element names
-and class words listed below. Every page is then labelled by the model alone, whole.
+and class names listed below. A class name counts whole or in a clear compound (``site-footer``, ``ad-box``; not
+``no-sidebar`` or ``legal-history``), and not on html, body and the elements around the article, which say
+something of the page and not of the block. Every page is then labelled by the model alone, whole.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -37,18 +41,101 @@ FURNITURE_WORDS = frozenset(
     "masthead cookie cookies consent notice alert popup modal overlay newsletter subscribe signup login search comment comments reply replies discussion "
     "disqus share sharing social related recommended widget pagination pager copyright legal disclaimer toolbar tags".split()
 )
+# What may stand before and after these words in a name of furniture.
+NAMES_BEFORE = frozenset("site page global primary secondary main sub top bottom left right inner outer mobile sticky fixed skip user blog post article entry google".split())
+NAMES_AFTER = frozenset(
+    "left right top bottom primary secondary box bar list item items link links button buttons icon icons wrap wrapper container inner outer block area section slot "
+    "unit module panel row col column group title heading image text content body form field author meta count toggle trail post posts article articles story stories x".split()
+)
+# Words of names that say nothing of furniture, for the variants.
+PLAIN_WORDS = "history content layout single open archive chapter intro page wrap science lead detail view grid theme col main hero figure part summary report".split()
 MAIN_TAGS = frozenset("article main".split())
-MAIN_WORDS = frozenset("article content main post entry story body text".split())
+ROOT_TAGS = frozenset("html body".split())
 
 Block = tuple[str, tuple[str, ...], int]
+_PART = re.compile(r"[a-z]+")
+_FURNITURE: dict[str, tuple[str, ...]] = {}
+
+
+def furniture_words(name: str) -> tuple[str, ...]:
+    """The furniture words of a class, id or role name that names furniture, as a whole or in a clear compound."""
+    found = _FURNITURE.get(name)
+    if found is None:
+        if len(_FURNITURE) > 100_000:
+            _FURNITURE.clear()
+        parts = _PART.findall(name)
+        at = next((k for k, part in enumerate(parts) if part in FURNITURE_WORDS), len(parts))
+        clear = all(part in NAMES_BEFORE for part in parts[:at]) and all(part in FURNITURE_WORDS or part in NAMES_AFTER for part in parts[at:])
+        found = _FURNITURE[name] = tuple(part for part in parts[at:] if part in FURNITURE_WORDS) if clear else ()
+    return found
+
+
+def _element_end(path: Sequence[str], at: int) -> int:
+    """Where the element that begins at ``at`` ends, with its names."""
+    at += 1
+    while at < len(path) and path[at][0] == "@":
+        at += 1
+    return at
+
+
+def article_paths(paths: Sequence[Sequence[str]]) -> list[tuple[str, ...]]:
+    """Paths down to the main and the article element that hold the page's text: at most one of each kind.
+
+    Of several the one outside furniture elements, then outside named furniture, then without such a name, then with most blocks.
+    """
+    found: dict[str, Counter[tuple[str, ...]]] = {"main": Counter(), "article": Counter()}
+    own: dict[tuple[str, ...], int] = {}
+    for path, times in Counter(map(tuple, paths)).items():
+        for at, word in enumerate(path):
+            if word in MAIN_TAGS:
+                down = path[: _element_end(path, at)]
+                found[word][down] += times
+                own[down] = at
+    out: list[tuple[str, ...]] = []
+    for counts in found.values():
+        if counts:
+            best = max(
+                counts,
+                key=lambda p: (not any(w in FURNITURE_TAGS for w in p), not _named_furniture(p[: own[p]], out), not _named_furniture(p, out), counts[p], len(p)),
+            )
+            out.append(best)
+    return out
+
+
+def _page_words(path: Sequence[str], articles: Sequence[Sequence[str]]) -> list[str]:
+    """The path without the names of html, body and the elements that hold an article of the page or are it."""
+    shared = 0
+    for article in articles:
+        same = next((k for k, (a, b) in enumerate(zip(path, article, strict=False)) if a != b), min(len(path), len(article)))
+        while same and (same < len(path) and path[same][0] == "@" or same < len(article) and article[same][0] == "@"):
+            same -= 1  # only whole elements are the same
+        shared = max(shared, same)
+    out, root = [], False
+    for at, word in enumerate(path):
+        if word[0] != "@":
+            root = at < shared or word in ROOT_TAGS
+        if word[0] != "@" or not root:
+            out.append(word)
+    return out
+
+
+def _named_furniture(path: Sequence[str], articles: Sequence[Sequence[str]]) -> bool:
+    return any(word[0] == "@" and furniture_words(word[1:]) for word in _page_words(path, articles))
+
+
+def labels_of(paths: Sequence[Sequence[str]]) -> list[bool]:
+    """Training labels of a page: no furniture on the path, and inside the article where the page has one."""
+    articles = article_paths(paths)
+    known: dict[tuple[str, ...], bool] = {}
+    for path in set(map(tuple, paths)):
+        clean = not any(word in FURNITURE_TAGS for word in path) and not _named_furniture(path, articles)
+        known[path] = clean and (not articles or any(word in MAIN_TAGS for word in path))
+    return [known[tuple(path)] for path in paths]
 
 
 def is_main(path: Sequence[str], whole_page: Sequence[Sequence[str]]) -> bool:
-    """Training label of a block: no furniture on its path, and inside the article where the page has one."""
-    if any(word in FURNITURE_TAGS or word[1:] in FURNITURE_WORDS and word[0] == "@" for word in path):
-        return False
-    marked = any(word in MAIN_TAGS for other in whole_page for word in other)
-    return not marked or any(word in MAIN_TAGS for word in path)
+    """Training label of one block of a page."""
+    return labels_of([*whole_page, path])[-1]
 
 
 _SLOTS: dict[str, tuple[int, int]] = {}
@@ -66,13 +153,23 @@ def _slots(word: str) -> tuple[int, int]:
 
 
 def vectors(page_blocks: Sequence[Block]) -> np.ndarray:
-    """One row per block: hashed path words, hashed text words, lengths and link share."""
+    """One row per block: hashed path words, hashed text words, lengths and link share.
+
+    Names of html, body and the elements around the article are left out; a name of furniture counts as its words, any
+    other name only as a name, and a page without article is told.
+    """
     n = len(page_blocks)
     out = np.zeros((n, PATH_BITS + WORD_BITS + 5), np.float32)
+    articles = article_paths([path for _, path, _ in page_blocks])
+    known: dict[tuple[str, ...], list[int]] = {}
     for row, (text, path, linked) in enumerate(page_blocks):
-        for word in path:
-            for slot in _slots(word):
-                out[row, slot] += 1.0
+        if path not in known:
+            words = [] if articles else ["?"]
+            for word in _page_words(path, articles):
+                words += [word] if word[0] != "@" else [f"@{w}" for w in furniture_words(word[1:])] or ["@"]
+            known[path] = [slot for word in words for slot in _slots(word)]
+        for slot in known[path]:
+            out[row, slot] += 1.0
         size = len(text)
         tail = out[row, PATH_BITS + WORD_BITS :]
         tail[0], tail[1] = np.log1p(size) / 5, min(1.0, linked / max(1, size))
@@ -213,6 +310,10 @@ def variant(page: Sequence[Block], rng: np.random.Generator) -> list[Block]:
             other = [("main",), ("main", "article"), ("article", "div", "@content"), ("main", "@main", "section"), ("div", "@wrapper", "article", "section")][rng.integers(5)]
             out = [(t, (*p[:at], *other, *p[at + 1 :]) if len(p) > at and p[at] == inner[at] else p, n) for t, p, n in out]
             roots[-1] = (*inner[:at], *other)
+        elif rng.random() < 0.3:  # and some have no such element at all
+            other = ("div", "@content")
+            out = [(t, tuple(v for w in p for v in (other if w in MAIN_TAGS else (w,))), n) for t, p, n in out]
+            roots[-1] = tuple(v for w in roots[-1] for v in (other if w in MAIN_TAGS else (w,)))
     tags = [w for w in sorted(FURNITURE_TAGS) if w not in ("head", "title")]
     names = sorted(FURNITURE_WORDS)
     for _ in range(int(rng.integers(2, 9))):
@@ -228,12 +329,28 @@ def variant(page: Sequence[Block], rng: np.random.Generator) -> list[Block]:
             start = int(rng.integers(len(words)))
             text = " ".join(words[start : start + int(rng.integers(1, 25))])
             out.insert(place, (text, path, len(text) if rng.random() < 0.3 else 0))
-    for _ in range(int(rng.integers(0, 4))):  # and main text in other elements
+    def plain_name() -> str:
+        """A name that holds a furniture word and does not name furniture, or one without any."""
+        word, other = names[rng.integers(len(names))], PLAIN_WORDS[rng.integers(len(PLAIN_WORDS))]
+        return "@" + (f"no-{word}", f"with-{word}", f"has-{word}", f"{word}-{other}", f"{other}-{word}", f"{other}-with-{word}", other, f"{other}-{int(rng.integers(1000))}")[rng.integers(8)]
+
+    for _ in range(int(rng.integers(0, 6))):  # and main text in other elements
         root = roots[-1]
         path = (*root, *(("ul", "li"), ("blockquote",), ("h2",), ("table", "tr", "td"), ("pre",), ("div", "@text", "p"), ("section", "p"), ("figure", "figcaption"))[rng.integers(8)])
+        if rng.random() < 0.5:
+            path = (*root, ("div", "section")[rng.integers(2)], *(plain_name() for _ in range(int(rng.integers(1, 4)))), *path[len(root) :])
         start = int(rng.integers(len(words)))
         inside = [k for k, (_, p, _) in enumerate(out) if p[: len(root)] == root] or [len(out)]
         out.insert(inside[int(rng.integers(len(inside)))], (" ".join(words[start : start + int(rng.integers(3, 40))]), path, 0))
+    if rng.random() < 0.5:  # names of the page's state on the elements around the article and on the article
+        for root in sorted({*roots, roots[0][:-1]} - {()}, key=len, reverse=True):
+            said = tuple(plain_name() if rng.random() < 0.7 else f"@{names[rng.integers(len(names))]}" for _ in range(int(rng.integers(0, 4))))
+            out = [(t, (*root, *said, *p[len(root) :]) if p[: len(root)] == root else p, n) for t, p, n in out]
+    if inner and rng.random() < 0.5:
+        wrap = ("div", *(plain_name() for _ in range(int(rng.integers(1, 3)))))
+        held = [k for k, w in enumerate(roots[0]) if w == "body"][0] + 1
+        ends = {p: next((k for k in range(held, len(p)) if p[k][0] != "@"), len(p)) for _, p, _ in out if p[: held] == roots[0]}
+        out = [(t, (*p[: ends[p]], *wrap, *p[ends[p] :]) if p in ends else p, n) for t, p, n in out]
     return out
 
 
@@ -245,7 +362,7 @@ def train(pages: Sequence[str], variants: int = VARIANTS, seed: int = 11) -> Blo
     for page in parsed:
         for version in [page, *(variant(page, rng) for _ in range(variants))]:
             paths = [p for _, p, _ in version]
-            labels = np.array([is_main(p, paths) for p in paths], np.float32)
+            labels = np.array(labels_of(paths), np.float32)
             rows = vectors(version)
             sets += [(rows[k : k + TRAIN_BLOCKS], labels[k : k + TRAIN_BLOCKS]) for k in range(0, len(labels), TRAIN_BLOCKS)]
     model = BlockLabeller(PATH_BITS + WORD_BITS + 5)
