@@ -2,8 +2,9 @@
 
 Pages that a rule allows are the trusted seeds of their host, pages that a rule blocks its distrusted
 seeds. Personalised PageRank carries trust along host links, and distrust against them: a host that
-links to distrusted hosts earns distrust. Scores are masses in seed pages; a host is blocked when
-distrust is more than ``THRESHOLD`` of both, and allowed when neither reaches it. Host edges are
+links to distrusted hosts earns distrust. What reaches a host without a way on returns to the seeds, so none of
+either kind is lost; a host is blocked when distrust is more than ``THRESHOLD`` of both, and allowed when neither
+reaches it. Host edges are
 counted before they are shuffled, and ranks are summed per host on the map side, so a host with a
 third of all pages or links is a few rows. Only DataFrame functions run, on the JVM.
 """
@@ -20,8 +21,8 @@ from engramlake.llm.store import keep
 Rule = tuple[str, str]
 RULES: tuple[Rule, ...] = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING = 0.85
-ROUNDS = 30
-TOLERANCE = 1e-6
+ROUNDS = 30  # enough for a graph without long ways and cycles; propagation itself has no limit
+TOLERANCE = 1e-6  # of every host's mass
 THRESHOLD = 0.5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,39 +66,45 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(host, trust, distrust): personalised PageRank from ``seeds`` (host, trust, distrust) over ``edges``.
+    """(host, trust, distrust, trust_gain, distrust_gain): personalised PageRank from ``seeds`` (host, trust, distrust) over ``edges``.
 
     Trust leaves a host in proportion to its links, distrust enters it in proportion to the links that
-    its targets receive. Mass at hosts without a way on goes back to the seeds by staying there.
+    its targets receive. Mass that stays at hosts without a way on returns to the seeds in proportion to
+    theirs. As all seeds of a kind gain by the same factor each time, so do all hosts: trust and distrust are the
+    masses before any return, and times the gain of their kind, which makes the sum that of the seeds, the
+    masses with all returns. Rounds go on until none adds more than ``TOLERANCE`` of its mass to any host,
+    so also until no new host is reached.
     """
     edges = keep(edges, "host-edges")
     if edges.isEmpty():
-        return seeds
+        return seeds.select("*", F.lit(1.0).alias("trust_gain"), F.lit(1.0).alias("distrust_gain"))
     forward = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "links")
     backward = edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "links")
     ways = forward.union(backward)
     totals = ways.groupBy("kind", "host").agg(F.sum("links").alias("total"))
     ways = keep(ways.join(totals, ["kind", "host"]).select("kind", "host", "to", (F.col("links") / F.col("total")).alias("share")), "host-ways")
     start = seeds.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), "host", F.col(k).cast("double").alias("mass")) for k in ("trust", "distrust")])).alias("s"))
-    start = keep(start.select("s.*").filter("mass > 0"), "seed-mass")
-    whole = start.agg(F.sum("mass")).first()[0] or 0.0
-    ranks = start
-    for _ in range(ROUNDS):
-        moved = ranks.join(ways, ["kind", "host"]).select("kind", F.col("to").alias("host"), (DAMPING * F.col("mass") * F.col("share")).alias("mass"))
-        kept = start.select("kind", "host", ((1 - DAMPING) * F.col("mass")).alias("mass"))
-        after = keep(moved.union(kept).groupBy("kind", "host").agg(F.sum("mass").alias("mass")), "ranks")
-        change = after.union(ranks.select("kind", "host", -F.col("mass"))).groupBy("kind", "host").agg(F.abs(F.sum("mass")).alias("d")).agg(F.sum("d")).first()[0]
-        ranks = after
-        if (change or 0.0) <= TOLERANCE * whole:
+    first = (1 - DAMPING) * F.col("mass")
+    ranks = keep(start.select("s.*").filter("mass > 0").select("kind", "host", first.alias("mass"), first.alias("added")), "seed-mass")
+    while True:
+        moved = ranks.filter("added > 0").join(ways, ["kind", "host"]).select("kind", F.col("to").alias("host"), (DAMPING * F.col("added") * F.col("share")).alias("added"))
+        both = ranks.select("kind", "host", "mass", F.lit(0.0).alias("added")).union(moved.select("kind", "host", F.col("added").alias("mass"), "added"))
+        ranks = keep(both.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("added").alias("added")), "ranks")
+        change = ranks.agg(F.max(F.col("added") / F.col("mass"))).first()[0]
+        if (change or 0.0) <= TOLERANCE:
             break
+    reached = {r.kind: r.mass for r in ranks.groupBy("kind").agg(F.sum("mass").alias("mass")).collect()}
+    given = seeds.agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")).first()
     kinds = [F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")]
-    return ranks.groupBy("host").agg(*kinds)
+    gains = [F.lit(float(given[k]) / reached[k] if reached.get(k) else 1.0).alias(f"{k}_gain") for k in ("trust", "distrust")]
+    return ranks.groupBy("host").agg(*kinds).select("*", *gains)
 
 
 def judge_pages(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of ``pages`` (page_id, url, html).
 
-    A null url or one without ``://`` has an empty host and path, no rule and no links, and is allowed.
+    ``trust`` and ``distrust`` are the masses that links bring in seed pages, before returns; the verdict weighs them with the
+    returns of each kind. A null url or one without ``://`` has an empty host and path, no rule and no links, and is allowed.
     Null html has no links. Repeated rows return repeated rows and count as seeds each. Other columns
     are ignored; an empty table gives no rows.
     """
@@ -109,8 +116,8 @@ def judge_pages(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: floa
         F.count(F.when(F.col("given") == "allow", 1)).alias("trust"), F.count(F.when(F.col("given") == "block", 1)).alias("distrust")
     )
     scores = propagate(keep(seeds, "host-seeds"), host_edges(parts))
-    mass = F.col("trust") + F.col("distrust")
-    blocked = (mass > 0) & (F.col("distrust") > threshold * mass)
+    trust, distrust = F.col("trust") * F.col("trust_gain"), F.col("distrust") * F.col("distrust_gain")
+    blocked = (trust + distrust > 0) & (distrust > threshold * (trust + distrust))
     hosts = scores.select("host", "trust", "distrust", F.when(blocked, "block").otherwise("allow").alias("host_verdict"))
     return given.drop("html").join(hosts, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("given", "host_verdict", F.lit("allow")).alias("verdict"),
