@@ -185,7 +185,11 @@ def score_documents(documents: DataFrame, labels: DataFrame, rows: int = LABELLE
     A null text is scored as an empty one. A null doc_id is scored too and is not held out. Repeated rows
     are repeated; labels without a document are passed over; other columns are ignored; no rows: no rows.
     """
-    model = train(documents, labels, rows)
+    return predict(train(documents, labels, rows), documents)
+
+
+def predict(model: BradleyTerry, documents: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of ``documents`` by a fitted model."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = texts.mapInArrow(_scores(model), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
