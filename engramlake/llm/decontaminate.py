@@ -7,6 +7,8 @@ so a short test item shows in a long document with the same chance as in a short
 its shared shingles is its bin's minimum with probability (1 - exp(-x)) / x, x = shingles per bin.
 A candidate needs fewer matches than an item of the wanted containment misses
 once in millions of times. Items too short for that bound are searched in the full set of shingles.
+A text of one to four words is one shingle of all its words, on both sides and in the SQL twin: such an item is found
+in a document of just these words, and not inside a longer one.
 Candidates are verified on their whole sets. Only DataFrame functions run, on the JVM.
 """
 
