@@ -14,6 +14,7 @@ from engramlake.llm.lm_scoring import score_texts
 from engramlake.llm.ngram_join import similar_classes
 from engramlake.llm.packing import pack_sequences
 from engramlake.llm.quality import score_documents
+from engramlake.llm.source_audit import source_divergence
 from engramlake.llm.token_output import pieces_of, write_matrices
 from engramlake.llm.url_filters import judge_pages
 from engramlake.llm.warc import assemble, read_records, write_archives
@@ -126,3 +127,30 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_lm_scoring"] = op8_lm_scoring
+
+
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op11_source_audit"] = op11_source_audit
+ORACLE["op11_source_audit"] = """WITH d AS MATERIALIZED (
+ SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+ FROM documents),
+c AS MATERIALIZED (SELECT lang, source, term, CAST(sum(n) AS HUGEINT) AS n, count(*) AS df FROM (
+ SELECT k, lang, source, term, count(*) AS n FROM (SELECT k, lang, source, unnest(w) AS term FROM d) GROUP BY ALL) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM c GROUP BY lang, term HAVING sum(df) >= 10),
+langs AS MATERIALIZED (SELECT l.lang, count(term) AS v, coalesce(sum(n), 0) AS n FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN kept ON l.lang = kept.lang GROUP BY l.lang),
+groups AS MATERIALIZED (SELECT g.lang, g.source, coalesce(sum(c.n) FILTER (kept.term IS NOT NULL), 0) AS n
+ FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN c USING (lang, source) LEFT JOIN kept ON kept.lang = g.lang AND kept.term = c.term GROUP BY g.lang, g.source),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + 1000000000 * (coalesce(c.n, 0) + 2) // (g.n + 2 * l.v) AS HUGEINT) AS p,
+  CAST(1 + 1000000000 * (k.n + 2) // (l.n + 2 * l.v) AS HUGEINT) AS q
+ FROM groups g JOIN langs l ON l.lang = g.lang JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term
+  WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+ FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+ SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+WHERE part = 'pair' OR rank <= 10"""
