@@ -15,6 +15,7 @@ from engramlake.llm.ngram_join import similar_classes
 from engramlake.llm.packing import pack_sequences
 from engramlake.llm.quality import score_documents
 from engramlake.llm.source_audit import source_divergence
+from engramlake.llm.token_align import align_tokens
 from engramlake.llm.token_output import pieces_of, write_matrices
 from engramlake.llm.url_filters import judge_pages
 from engramlake.llm.warc import assemble, read_records, write_archives
@@ -154,3 +155,10 @@ terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) /
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
 WHERE part = 'pair' OR rank <= 10"""
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op13_token_alignment"] = op13_token_alignment
