@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from engramlake.llm.decontaminate import contaminated
 from engramlake.llm.exact_dedup import exact_copies
 from engramlake.llm.html_extract import extract_main_text
+from engramlake.llm.license_scan import BASE, LEAST_SHARE, RARE, STEP, TEMPLATES, phrase_postings, scan_licenses
 from engramlake.llm.lm_scoring import score_texts
 from engramlake.llm.ngram_join import similar_classes
 from engramlake.llm.packing import pack_sequences
@@ -162,3 +163,48 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op13_token_alignment"] = op13_token_alignment
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_license_scan"] = op12_license_scan
+
+
+def _license_sql() -> str:
+    """The scan in SQL, over the same templates."""
+    def values(rows):
+        return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+
+    templates = values((k, label, text, len(phrases)) for k, (label, text, phrases) in enumerate(TEMPLATES))
+    keys = values((t, phrase, place) for t, phrase, place in phrase_postings())
+    return f"""WITH templates(template, label, notice, needed) AS (VALUES {templates}),
+keys(template, phrase, place) AS (VALUES {keys}),
+base(phrase, label) AS (VALUES {values(BASE)}),
+vocabulary AS (SELECT template, unnest(string_split(notice, ' ')) AS word, generate_subscripts(string_split(notice, ' '), 1) - 1 AS place FROM templates),
+d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id,
+ regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+seen AS MATERIALIZED (SELECT k, word, p FROM (SELECT k, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM d)
+ WHERE word IN (SELECT word FROM vocabulary UNION ALL SELECT unnest(string_split(phrase, ' ')) FROM base)),
+df AS (SELECT v.word, count(DISTINCT k) AS df FROM (SELECT DISTINCT word FROM vocabulary) v LEFT JOIN seen USING (word) GROUP BY v.word),
+ranked AS (SELECT template, word, df, row_number() OVER (PARTITION BY template ORDER BY df, word) AS r FROM (SELECT DISTINCT template, word FROM vocabulary) JOIN df USING (word)),
+index AS MATERIALIZED (SELECT v.template, v.word, v.place, CAST(1 + round(1000 * ln(((SELECT count(*) FROM d) + 1) / (df + 1))) AS INTEGER) AS x
+ FROM vocabulary v JOIN ranked r ON v.template = r.template AND v.word = r.word AND r <= {RARE}),
+phrases AS (SELECT phrase, unnest(string_split(phrase, ' ')) AS word, generate_subscripts(string_split(phrase, ' '), 1) - 1 AS step, len(string_split(phrase, ' ')) AS words
+ FROM (SELECT phrase FROM keys UNION SELECT phrase FROM base)),
+places AS MATERIALIZED (SELECT k, phrase, p - step AS p FROM seen JOIN phrases USING (word) GROUP BY ALL HAVING count(*) = any_value(words)),
+met AS (SELECT DISTINCT k, template, unnest([CAST(floor((p - place) / {STEP}.0) AS BIGINT) - 1, CAST(floor((p - place) / {STEP}.0) AS BIGINT)]) AS band, place AS at, x, 0 AS key FROM seen JOIN index USING (word)
+ UNION SELECT DISTINCT k, template, unnest([CAST(floor((p - place) / {STEP}.0) AS BIGINT) - 1, CAST(floor((p - place) / {STEP}.0) AS BIGINT)]), place, 0, 1 FROM places JOIN keys USING (phrase)),
+bands AS (SELECT k, template, sum(x) AS x, sum(key) AS found FROM met GROUP BY k, template, band),
+judged AS (SELECT k, label, x / (SELECT sum(x) FROM index WHERE index.template = b.template) AS share, found / needed AS verified FROM bands b JOIN templates t ON t.template = b.template),
+best AS (SELECT k, max(share * verified) AS best, list(DISTINCT label) FILTER (verified = 1 AND share >= {LEAST_SHARE}) AS labels FROM judged GROUP BY k),
+own AS (SELECT k, count(*) AS n, min(p) AS first, max(p) AS last, list(DISTINCT label) AS labels FROM places JOIN base USING (phrase) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, CAST(first AS BIGINT) AS first_word, CAST(last AS BIGINT) AS last_word,
+ coalesce(array_to_string(list_sort(own.labels), ','), '') AS base_labels,
+ coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(own.labels, []), coalesce(best.labels, [])))), ','), '') AS labels,
+ round(CASE WHEN n > 0 THEN 1.0 ELSE CAST(coalesce(best, 0) AS DOUBLE) END, 6) AS score
+FROM d LEFT JOIN own USING (k) LEFT JOIN best USING (k)"""
+
+
+ORACLE["op12_license_scan"] = _license_sql()
