@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -13,7 +15,8 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from engramlake.llm import source_audit, token_align
+from engramlake.llm import license_scan, source_audit, token_align
+from engramlake.llm.license_scan import scan_licenses
 from engramlake.llm.source_audit import source_divergence
 from engramlake.llm.token_align import align_tokens, cut_text, overlaps
 
@@ -215,3 +218,76 @@ def test_pieces_of_a_merge_give_the_same_overlaps(piece):
 def test_chunks_give_the_text_back():
     for text in [*STRANGE, "", "plain words only"]:
         assert " ".join(cut_text(text)) == text
+
+
+def plain_licenses(rows):
+    """The scan by its definition, over (doc_id, text) rows."""
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    docs = [(d, word.findall((t or "").translate({i: i + 32 for i in range(65, 91)}))) for d, t in rows]
+    df = Counter(w for _, ws in docs for w in set(ws))
+    index = []
+    for label, text, phrases in license_scan.TEMPLATES:
+        words = text.split()
+        rare = sorted(set(words), key=lambda w: (df[w], w))[: license_scan.RARE]
+        postings = [(p, w, 1 + round(1000 * math.log((len(docs) + 1) / (df[w] + 1)))) for p, w in enumerate(words) if w in rare]
+        index.append((label, postings, [(words_at(words, x.split())[0], x) for x in phrases]))
+    out = []
+    for doc_id, words in docs:
+        base = [(p, label) for phrase, label in license_scan.BASE for p in words_at(words, phrase.split())]
+        labels, best = {label for _, label in base}, 0.0
+        for label, postings, phrases in index:
+            met = {}
+            for p, w in enumerate(words):
+                for place, rare, x in postings:
+                    if rare == w:
+                        for band in ((p - place) // 8 - 1, (p - place) // 8):
+                            met.setdefault(band, [set(), set()])[0].add((place, x))
+            for place, phrase in phrases:
+                for p in words_at(words, phrase.split()):
+                    for band in ((p - place) // 8 - 1, (p - place) // 8):
+                        met.setdefault(band, [set(), set()])[1].add(phrase)
+            for found, verified in met.values():
+                share = sum(x for _, x in found) / sum(x for _, _, x in postings)
+                best = max(best, share * len(verified) / len(phrases))
+                if len(verified) == len(phrases) and share >= license_scan.LEAST_SHARE:
+                    labels.add(label)
+        places = [p for p, _ in base]
+        own = ",".join(sorted({label for _, label in base}))
+        out.append((doc_id, len(words), len(base), min(places, default=None), max(places, default=None), own, ",".join(sorted(labels)), round(1.0 if base else best, 6)))
+    return Counter(out)
+
+
+def words_at(words, phrase):
+    return [i for i in range(len(words) - len(phrase) + 1) if words[i : i + len(phrase)] == phrase]
+
+
+def test_scan_licenses(docs):
+    rng = random.Random(9)
+    noise = ["a", "of", "software", "license", "version", "cc", "by", "Bärin", "日本", "x1", "free", "the", "K", "MİT"]
+    rows = list(ODD) + [
+        (50, "Licensed under CC BY-NC 4.0. Licensed under CC-BY 4.0; cc by cc by"),
+        (51, "ALL RIGHTS RESERVED, all rights  reserved\nGNU General Public License"),
+        (52, "all rights reserved"), (53, "cc\x0bby"), (54, "Released under the MİT License. public licenſe mit licenſe"), (55, "released under the mit Kicense"),
+        (56, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software)"),
+        (57, "Permission is hereby granted, free of charge. " + "word " * 60 + "to any person obtaining a copy of this software and associated documentation files"),
+        (58, "Redistribution and use in source and binary forms, with or without any modification, are permitted"),
+        (59, LONG + " Licensed under the Apache License, Version 2.0. " * 300 + LONG),
+    ]
+    for k in range(120):
+        _, text, _ = rng.choice(license_scan.TEMPLATES)
+        words = text.split()
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 1)] = [rng.choice(noise)] * rng.randint(0, 2)
+        words = [rng.choice(noise) for _ in range(rng.randint(0, 40))] + words + [rng.choice(noise) for _ in range(rng.randint(0, 40))]
+        rows.append((100 + k % 90, rng.choice([" ", "\n", ", "]).join(words).title() if k % 3 else " ".join(words)))
+    got = scan_licenses(docs(rows).repartition(3))
+    assert got.schema.simpleString() == "struct<doc_id:bigint,n_words:bigint,n_base:bigint,first_word:bigint,last_word:bigint,base_labels:string,labels:string,score:double>"
+    want = plain_licenses(rows)
+    assert Counter(map(tuple, got.collect())) == want
+    by_id = {r[0]: r for r in want}
+    assert by_id[56][6] == "mit" and by_id[57][6] == "" and by_id[50][5:7] == ("cc-by", "cc-by,cc-by-nc") and by_id[54][6] == by_id[55][6] == ""
+
+
+def test_scan_licenses_of_an_empty_table(docs):
+    assert scan_licenses(docs([])).count() == 0
