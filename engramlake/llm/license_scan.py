@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from engramlake.llm.store import keep
 
-RARE = 8
+RARE = 4
 STEP = 8
 LEAST_SHARE = 0.6
 # Base phrases and their labels.
