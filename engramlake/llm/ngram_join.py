@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.llm.shingles import SLICE_BYTES, mix, shingle_sets, slices
-from engramlake.llm.store import components, keep
+from engramlake.llm.store import components, keep, releasing
 
 SIMILARITY = 80  # hundredths
 HEAVY = 1 << 18
@@ -189,12 +189,12 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     # texts are always shuffled to their pairs: neither side has a bound that a broadcast could rely on
     rows = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(_verified, "a long, b long").distinct()
+    return rows.mapInArrow(releasing(_verified), "a long, b long").distinct()
 
 
 def _global_order(docs: DataFrame) -> PrefixOrder:
     """The order, with the most repeated shingles as heavy: as many whole counts as fit in ``HEAVY``."""
-    counts = keep(docs.select("text").mapInArrow(_repeated, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")), "repeated")
+    counts = keep(docs.select("text").mapInArrow(releasing(_repeated), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")), "repeated")
     kept, least = 0, 1 << 62
     for row in counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.col("n").desc()).collect():
         kept += row["count"]
@@ -215,11 +215,11 @@ def similar_classes(documents: DataFrame) -> DataFrame:
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = _global_order(docs)
-    members = keep(docs.mapInArrow(_members(order), "doc_id long, n_shingles long, g long, digest binary"), "members")
+    members = keep(docs.mapInArrow(releasing(_members(order)), "doc_id long, n_shingles long, g long, digest binary"), "members")
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = 1 << max(4, math.ceil(math.log2(1 + total * (100 - SIMILARITY) / 100 / BUCKET_ENTRIES)))
     shared = (
-        docs.filter("doc_id is not null").select("text").mapInArrow(_entries(order, buckets), "bucket long, entries binary")
+        docs.filter("doc_id is not null").select("text").mapInArrow(releasing(_entries(order, buckets)), "bucket long, entries binary")
         .groupBy("bucket").applyInArrow(_shared, "s long, g long, n long, pos long")
     )
     shared = keep(shared, "shared-entries")

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.llm.shingles import mix, slices, word_hashes
+from engramlake.llm.store import releasing
 
 LABELLED_ROWS = 12_000
 PAIRS = 120_000
@@ -172,7 +173,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) ->
     share = 2.0 * rows / max(1, open_rows.count())  # more than needed, yet few rows reach the sort
     chosen = open_rows.filter(place < share).orderBy(place, "doc_id").limit(rows)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(_feature_rows, "quality int, x array<double>").toArrow()
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(releasing(_feature_rows), "quality int, x array<double>").toArrow()
     x = np.array(sample.column("x").to_pylist(), np.float64).reshape(-1, FEATURES)
     y = sample.column("quality").to_numpy()
     order = np.lexsort((*x.T[:3], x[:, 141], y))  # the same model whatever order the rows come in
@@ -191,5 +192,5 @@ def score_documents(documents: DataFrame, labels: DataFrame, rows: int = LABELLE
 def predict(model: BradleyTerry, documents: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``documents`` by a fitted model."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = texts.mapInArrow(_scores(model), "doc_id long, score double")
+    scored = texts.mapInArrow(releasing(_scores(model)), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engramlake.llm.store import keep
+from engramlake.llm.store import keep, releasing
 
 LEAST_DOCUMENTS = 10
 SCALE = 1_000_000_000
@@ -79,7 +79,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def term_counts(documents: DataFrame) -> DataFrame:
     """(lang, source, term, n, df) over all documents."""
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    counted = documents.select(*text).mapInArrow(_counted, COUNT_SCHEMA)
+    counted = documents.select(*text).mapInArrow(releasing(_counted), COUNT_SCHEMA)
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 

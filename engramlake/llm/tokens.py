@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_CHUNKS = 600_000
+from engramlake.llm.store import release_memory
+
+CACHE_CHUNKS = 250_000
 LONG_CHUNK = 256
 TEXT_BYTES = 1 << 20
 _MARK = "0"  # stands alone as a pre-token between the chunks of one call
@@ -40,6 +42,10 @@ class Encoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def forget(self) -> None:
+        """Drop the chunks; the vocabulary stays."""
+        self.young, self.old = {}, {}
+
     def _learn(self, chunks: list[bytes]) -> None:
         plain = [c for c in chunks if b"0" not in c and b"<|" not in c]
         other = [c for c in chunks if b"0" in c or b"<|" in c]
@@ -86,12 +92,20 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoded_rows(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of every row of (doc_id, text) batches, in order; a null text is empty.
 
-    The encoder stays in the worker, so later tasks find its chunks; ids do not depend on it.
+    The vocabulary stays in the worker; the chunks of a task go with it, as other stages use the worker too.
     """
     path = path or default_path()
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     encoder = _ENCODERS[path]
+    try:
+        yield from _encoded(encoder, batches)
+    finally:
+        encoder.forget()
+        release_memory()
+
+
+def _encoded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
     for batch in batches:
         texts = pc.fill_null(batch.column("text").cast(pa.large_binary()), b"")
         held, size = [], 0
