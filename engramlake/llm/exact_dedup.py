@@ -22,10 +22,12 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no preallocated files
 }
 FEED_SCHEMA = "doc_id long, digest string, locator string"
+FREQUENT = 4096  # a digest with more than this part of all rows is met by broadcast: there are fewer than FREQUENT of them
+SALTS = 16
 
 
 @contextmanager
@@ -50,7 +52,7 @@ def write_feed(documents: DataFrame, feed: str, digest: Callable[[Column], Colum
     The locator is file and row number where the table is read from files, else the row's place in the feed.
     """
     try:
-        rows = documents.select("*", F.concat_ws(":", "_metadata.file_name", F.col("_metadata.row_index").cast("string")).alias("__locator"))
+        rows = documents.select("*", F.concat_ws(":", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias("__locator"))
     except Exception as error:  # a table that is not read straight from files has no such column
         if getattr(error, "getCondition", lambda: "")() not in ("UNRESOLVED_COLUMN.WITH_SUGGESTION", "UNRESOLVED_COLUMN.WITHOUT_SUGGESTION", "FIELD_NOT_FOUND", "INVALID_EXTRACT_BASE_FIELD_TYPE"):
             raise
@@ -75,6 +77,19 @@ def update_state(spark: SparkSession, feed: str, state: str) -> DataFrame:
         return keep(out, "dedup-state")
 
 
+def _judged(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """(doc_id, digest, keep_id, group_size, kept) of the rows of a feed; no digest's rows are gathered in one task."""
+    total = held.agg(F.sum("group_size")).first()[0] or 0
+    often = held.filter(F.col("group_size") * FREQUENT > total)
+    frequent = F.broadcast(often.withColumnsRenamed({"keep_id": "often_id", "keep_locator": "often_locator", "group_size": "often_size"}))
+    rows = rows.join(frequent, "digest", "left")
+    kept = (F.col("locator") == F.col("keep_locator")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    out = ("doc_id", "digest", "keep_id", "group_size", kept.alias("kept"))
+    met = rows.filter("often_size is not null").select("doc_id", "digest", "locator", F.col("often_id").alias("keep_id"), F.col("often_locator").alias("keep_locator"), F.col("often_size").alias("group_size"))
+    rest = rows.filter("often_size is null").select("doc_id", "digest", "locator").join(held, "digest", "left")
+    return met.select(*out).unionByName(rest.select(*out))
+
+
 def exact_copies(documents: DataFrame, digest: Callable[[Column], Column] = sha256, feed: str | None = None, state: str | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of ``documents``.
 
@@ -88,17 +103,15 @@ def exact_copies(documents: DataFrame, digest: Callable[[Column], Column] = sha2
     write_feed(documents, feed, digest)
     held = update_state(spark, feed, state)
     rows = spark.read.schema(FEED_SCHEMA).parquet(feed)
-    judged = rows.join(held, "digest", "left").select(
-        "doc_id", "digest", "keep_id", "group_size", (F.col("locator") == F.col("keep_locator")).alias("kept")
-    )
-    judged = keep(judged, "judged")
+    judged = keep(_judged(rows, held), "judged")
 
     # every hit: equal digests must stand for equal bytes
     hits = judged.filter("group_size > 1").select("doc_id", "digest").distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"))
     found = texts.join(hits, F.col("id").eqNullSafe(F.col("doc_id"))).select("id", "text", "digest").filter(digest(F.col("text")) == F.col("digest"))
-    clash = keep(found.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high")).filter("low != high").select("digest"), "clashes")
+    spread = found.groupBy("digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).agg(F.min("text").alias("low"), F.max("text").alias("high"))
+    clash = keep(spread.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high").select("digest"), "clashes")
     if not clash.isEmpty():
         judged = _by_bytes(judged, texts, clash, digest)
     if digest is sha256:
