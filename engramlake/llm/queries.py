@@ -16,6 +16,7 @@ from engramlake.llm.ngram_join import similar_classes
 from engramlake.llm.packing import pack_sequences
 from engramlake.llm.quality import score_documents
 from engramlake.llm.source_audit import source_divergence
+from engramlake.llm.store import keep
 from engramlake.llm.token_align import align_tokens
 from engramlake.llm.token_output import pieces_of, write_matrices
 from engramlake.llm.url_filters import judge_pages
@@ -92,14 +93,16 @@ QUERIES["op6_url_filters"] = op6_url_filters
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "archives")
     write_archives(table(spark, sf_dir, "pages"), folder)
-    captures = assemble(read_records(spark, folder, with_payload=False))
+    captures = keep(assemble(keep(read_records(spark, folder, with_payload=False), "records")), "captures")
     page = F.col("metadata_fields.pageId").cast("long")
     rows = captures.select(
         page.alias("page_id"), F.col("capture_id"), F.col("response.refers_to").alias("refers_id"), "payload_bytes", "payload_digest",
         F.col("response.record_type").alias("record_type"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
     )
     full = captures.filter("response.refers_to is null").select(F.col("capture_id").alias("refers_id"), page.alias("refers_to"))
-    return rows.join(full, "refers_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    revisits = rows.filter("refers_id is not null").join(full, "refers_id", "left")
+    first = rows.filter("refers_id is null").withColumn("refers_to", F.lit(None).cast("long"))
+    return revisits.unionByName(first).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES["op9_warc"] = op9_warc

@@ -3,7 +3,7 @@
 Every page becomes a request, a response or revisit, and a metadata record; the first and last name the
 response in WARC-Concurrent-To. Pages whose payload of at least ``REVISIT_BYTES`` equals that of a page
 with a larger id are revisits of it. Files are whole-file gzip members that Spark commits, so a retried
-task never leaves half a file, and each holds at most ``RECORDS_PER_FILE`` records.
+task never leaves half a file; larger pages go to files of fewer records (``FILE_CLASSES``).
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 3000
+# pages of at most so many bytes, and records of such pages a file: no file holds much more than 50 MB, or twelve pages
+FILE_CLASSES = ((1 << 14, 3000), (1 << 18, 200), (None, 12))
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BREAK = "\r\n"
@@ -79,8 +80,14 @@ def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_BYTES) ->
     )
     asked = F.concat(targeted(_record_head(lines("request", record_id("request", page, digest), "application/http;msgtype=request", ("WARC-Concurrent-To", own)), F.octet_length(request))), request)
     noted = F.concat(targeted(_record_head(lines("metadata", record_id("metadata", page, digest), "application/warc-fields", ("WARC-Concurrent-To", own)), F.octet_length(facts))), facts)
-    records = rows.select(F.explode(F.array(asked, answer, noted)).alias("value"))
-    records.write.mode("errorifexists").option("lineSep", BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
+    records = rows.select(F.octet_length("html").alias("size"), F.explode(F.array(asked, answer, noted)).alias("value"))
+    largest = pages.agg(F.max(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
+    over, mode = -1, "errorifexists"
+    for limit, count in FILE_CLASSES:
+        part = records.filter(F.col("size") > over) if limit is None else records.filter((F.col("size") > over) & (F.col("size") <= limit))
+        if over < largest or over < 0:
+            part.select("value").write.mode(mode).option("lineSep", BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", count).text(folder)
+        over, mode = limit, "append"
 
 
 def _record_head(headers: list[tuple[str, Column | str]], size: Column) -> Column:
@@ -175,8 +182,10 @@ def assemble(records: DataFrame) -> DataFrame:
 
     full = answers.select(F.col("record_id").alias("full_id"), F.col("r.payload_bytes").alias("full_bytes"), F.col("r.payload_digest").alias("full_digest")).filter("full_bytes is not null")
     rows = answers.join(linked("request").drop("request_fields"), "record_id", "left").join(linked("metadata"), "record_id", "left")
-    rows = rows.join(full, F.col("r.refers_to") == F.col("full_id"), "left")
-    return rows.select(
+    # only revisits are joined: a column that most captures lack would send them all to one task
+    revisits = rows.filter("r.refers_to is not null").join(full, F.col("r.refers_to") == F.col("full_id"), "left").drop("full_id")
+    others = rows.filter("r.refers_to is null").withColumns({"full_bytes": F.lit(None).cast("long"), "full_digest": F.lit(None).cast("string")})
+    return revisits.unionByName(others).select(
         F.col("record_id").alias("capture_id"), "copies", F.col("r").alias("response"), "request", "metadata", "metadata_fields",
         F.coalesce("r.payload_bytes", "full_bytes").alias("payload_bytes"), F.coalesce("r.payload_digest", "full_digest").alias("payload_digest"),
     )
