@@ -19,11 +19,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.llm.html_blocks import blocks
 from engramlake.llm.shingles import word_hashes
+from engramlake.llm.store import releasing
 
 TRAIN_PAGES = 120
 TRAIN_BLOCKS = 60  # longer training pages are cut into windows of so many blocks
@@ -33,12 +35,14 @@ EPOCHS = 24
 PATH_BITS = 384
 WORD_BITS = 48
 BATCH_PAGES = 256
+BATCH_BYTES = 2 << 20
+CELLS = 8192  # blocks whose vectors are held at once
 
 # Element names and class words whose blocks are not main text (training labels).
 FURNITURE_TAGS = frozenset("head title nav header footer aside form button select option textarea menu dialog label fieldset legend input".split())
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs header footer "
-    "masthead cookie cookies consent notice alert popup modal overlay newsletter subscribe signup login search comment comments reply replies discussion "
+    "masthead adsbygoogle gdpr complementary respond cookie cookies consent notice alert popup modal overlay newsletter subscribe signup login search comment comments reply replies discussion "
     "disqus share sharing social related recommended widget pagination pager copyright legal disclaimer toolbar tags".split()
 )
 # What may stand before and after these words in a name of furniture.
@@ -152,15 +156,17 @@ def _slots(word: str) -> tuple[int, int]:
     return found
 
 
-def vectors(page_blocks: Sequence[Block]) -> np.ndarray:
-    """One row per block: hashed path words, hashed text words, lengths and link share.
+def vectors(page_blocks: Sequence[Block], at: int = 0, to: int | None = None, articles: Sequence[Sequence[str]] | None = None) -> np.ndarray:
+    """One row per block of the page, or of its blocks ``at`` to ``to``: hashed path words, hashed text words, lengths and link share.
 
     Names of html, body and the elements around the article are left out; a name of furniture counts as its words, any
     other name only as a name, and a page without article is told.
     """
+    whole = len(page_blocks)
+    articles = article_paths([path for _, path, _ in page_blocks]) if articles is None else articles
+    page_blocks = page_blocks[at:to]
     n = len(page_blocks)
     out = np.zeros((n, PATH_BITS + WORD_BITS + 5), np.float32)
-    articles = article_paths([path for _, path, _ in page_blocks])
     known: dict[tuple[str, ...], list[int]] = {}
     for row, (text, path, linked) in enumerate(page_blocks):
         if path not in known:
@@ -173,7 +179,7 @@ def vectors(page_blocks: Sequence[Block]) -> np.ndarray:
         size = len(text)
         tail = out[row, PATH_BITS + WORD_BITS :]
         tail[0], tail[1] = np.log1p(size) / 5, min(1.0, linked / max(1, size))
-        tail[2], tail[3], tail[4] = float(text[-1:] in ".!?"), row / n, 1.0
+        tail[2], tail[3], tail[4] = float(text[-1:] in ".!?"), (at + row) / whole, 1.0
     if n:
         hashes, counts = word_hashes(pa.array([t.encode("utf-8", "surrogatepass") for t, _, _ in page_blocks], pa.large_binary()))
         slots = np.repeat(np.arange(n), counts) * WORD_BITS + (hashes % np.uint64(WORD_BITS)).astype(np.int64)
@@ -200,7 +206,7 @@ class BlockLabeller:
         self.p["o"] = rng.normal(0, 0.2, 2 * hidden).astype(np.float32)
         self.p["e"] = np.zeros(1, np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, side: str) -> tuple[np.ndarray, list]:
+    def _run(self, x: np.ndarray, mask: np.ndarray, side: str, traced: bool = True) -> tuple[np.ndarray, list]:
         steps, pages, h = x.shape[0], x.shape[1], self.hidden
         drive = x @ self.p["x" + side] + self.p["c" + side]
         state, cell = np.zeros((pages, h), np.float32), np.zeros((pages, h), np.float32)
@@ -212,16 +218,35 @@ class BlockLabeller:
             m = mask[t][:, None]
             new = f * cell + i * g
             squashed = np.tanh(new)
-            trace.append((t, state, cell, i, f, o, g, squashed, m))
+            if traced:
+                trace.append((t, state, cell, i, f, o, g, squashed, m))
             state, cell = m * (o * squashed) + (1 - m) * state, m * new + (1 - m) * cell
             out[t] = state
         return out, trace
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Log odds of main text, (blocks, pages), for padded input (blocks, pages, features)."""
-        both = np.concatenate([self._run(x, mask, "f")[0], self._run(x, mask, "b")[0]], axis=2)
+        both = np.concatenate([self._run(x, mask, "f", False)[0], self._run(x, mask, "b", False)[0]], axis=2)
         return both @ self.p["o"] + self.p["e"]
 
+    def long_scores(self, page_blocks: Sequence[Block]) -> np.ndarray:
+        """Log odds of main text of one page of any length, whose vectors are made ``CELLS`` blocks at a time."""
+        h, n = self.hidden, len(page_blocks)
+        articles = article_paths([path for _, path, _ in page_blocks])
+        total = np.full(n, self.p["e"][0], np.float32)
+        starts = range(0, n, CELLS)
+        for side, weights, order in (("f", self.p["o"][:h], starts), ("b", self.p["o"][h:], reversed(starts))):
+            state, cell = np.zeros(h, np.float32), np.zeros(h, np.float32)
+            for at in order:
+                drive = vectors(page_blocks, at, at + CELLS, articles) @ self.p["x" + side] + self.p["c" + side]
+                for t in range(len(drive)) if side == "f" else range(len(drive) - 1, -1, -1):
+                    z = drive[t] + state @ self.p["h" + side]
+                    gates = _sigmoid(z[: 3 * h])
+                    cell = gates[h : 2 * h] * cell + gates[:h] * np.tanh(z[3 * h :])
+                    state = gates[2 * h :] * np.tanh(cell)
+                    total[at + t] += state @ weights
+        return total
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         h = self.hidden
         runs = {side: self._run(x, mask, side) for side in "fb"}
@@ -268,13 +293,20 @@ class BlockLabeller:
                     second[k] = 0.999 * second[k] + 0.001 * grad**2
                     self.p[k] -= (pace * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
-    def label(self, pages: Sequence[np.ndarray]) -> list[np.ndarray]:
-        """True for main text, per block of every page; pages of like length are run together."""
+    def label(self, pages: Sequence[Sequence[Block]]) -> list[np.ndarray]:
+        """True for main text, per block of every page; pages of like length are run together, in at most ``CELLS`` padded blocks."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
-        for at in range(0, len(order), 32):
-            part = order[at : at + 32]
-            x, mask, _ = padded([pages[k] for k in part], None)
+        at = 0
+        while at < len(order):
+            to = at + 1
+            while to < len(order) and to - at < 32 and len(pages[order[to]]) * (to + 1 - at) <= CELLS:
+                to += 1
+            part, at = order[at:to], to
+            if len(pages[part[0]]) > CELLS:
+                out[part[0]] = self.long_scores(pages[part[0]]) > 0
+                continue
+            x, mask, _ = padded([vectors(pages[k]) for k in part], None)
             scores = self.scores(x, mask)
             for column, k in enumerate(part):
                 out[k] = scores[: len(pages[k]), column] > 0
@@ -373,10 +405,14 @@ def train(pages: Sequence[str], variants: int = VARIANTS, seed: int = 11) -> Blo
 def _extract(model: BlockLabeller):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_PAGES):
-                part = batch.slice(at, BATCH_PAGES)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("html")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:  # slices of few pages and bytes; a longer page is a slice of its own
+                limit = (sizes[at - 1] if at else 0) + BATCH_BYTES
+                to = max(at + 1, min(at + BATCH_PAGES, int(np.searchsorted(sizes, limit, side="right"))))
+                part, at = batch.slice(at, to - at), to
                 parsed = [blocks(page or "") for page in part.column("html").to_pylist()]
-                labels = model.label([vectors(page) for page in parsed])
+                labels = model.label(parsed)
                 texts = [" ".join(b[0] for b, main in zip(page, keep, strict=True) if main) for page, keep in zip(parsed, labels, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
@@ -403,4 +439,4 @@ def extract_main_text(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataF
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     model = train([r.html for r in _sample(rows, train_pages).collect()])
-    return rows.mapInArrow(_extract(model), "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(releasing(_extract(model)), "page_id long, url string, text string, n_chars long")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import resource
 from collections import Counter
 
 import numpy as np
@@ -212,3 +213,24 @@ def test_pipeline_stages(spark):
         kept, docs = want, spark.createDataFrame(left, out.schema) if left else out
 
 
+
+
+def test_a_long_page_is_labelled_in_bounded_memory():
+    page = "<html><body><nav><p>Menu</p></nav><article><table>" + "<tr><td>cell text</td></tr>" * 75_000 + "</table></article><footer><p>End</p></footer></body></html>"
+    model = html_extract.BlockLabeller(html_extract.PATH_BITS + html_extract.WORD_BITS + 5)
+    parsed = [blocks(page)] + [blocks(f"<article><p>{k}</p></article>") for k in range(31)]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    labels = model.label(parsed)
+    assert len(page) > 2 << 20 - 1 and len(labels[0]) == 75_002
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 300
+    few = parsed[0][:20]
+    x, mask, _ = html_extract.padded([html_extract.vectors(few)], None)
+    assert np.allclose(model.scores(x, mask)[:, 0], model.long_scores(few), atol=1e-4)
+
+
+def test_long_scores_do_not_depend_on_the_cut(monkeypatch):
+    page = blocks("<article>" + "".join(f"<p>text {k}</p><div class='ad'>x</div>" for k in range(40)) + "</article>")
+    model = html_extract.BlockLabeller(html_extract.PATH_BITS + html_extract.WORD_BITS + 5)
+    whole = model.long_scores(page)
+    monkeypatch.setattr(html_extract, "CELLS", 7)
+    assert np.allclose(whole, model.long_scores(page), atol=1e-4)

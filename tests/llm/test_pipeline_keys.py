@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from engramlake.session import scratch_path
 from pyspark.sql import functions as F
 
 PATH = "/root/testdata/sf0.001"
@@ -45,3 +46,12 @@ def test_quality(spark):
     stays = next(t for _, t in docs if t in kept)
     got = run(spark, "quality", [*docs, (None, gone), (None, stays), (-5, gone), (-5, stays)])
     assert {(None, stays), (-5, stays)} < set(got) and not {(None, gone), (-5, gone)} & set(got)
+
+
+def test_pipeline_twice_in_a_session_and_on_nothing(spark):
+    first = corpus_pipeline.run(spark, PATH).select("doc_id", "start", "length").collect()
+    assert first and sorted(first) == sorted(corpus_pipeline.run(spark, PATH).select("doc_id", "start", "length").collect())
+    folder = scratch_path(spark, "nothing")
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{PATH}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0

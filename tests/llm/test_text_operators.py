@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from engramlake.llm import lm_scoring, packing, quality, token_output, tokens
+from engramlake.llm import exact_dedup, lm_scoring, packing, quality, token_output, tokens
 from engramlake.llm.decontaminate import contaminated
 from engramlake.llm.exact_dedup import exact_copies
 from engramlake.llm.ngram_join import similar_classes
@@ -305,3 +305,24 @@ def test_encoder_equals_library():
 def test_features_of_empty_texts():
     x = quality.features(pa.array([b"", b" ", b"a"], pa.large_binary()))
     assert np.isfinite(x).all() and x.shape == (3, quality.FEATURES)
+
+
+def test_exact_copies_over_partitioned_files(spark):
+    """One task gives its file the same name in every partition folder; each text must keep one row all the same."""
+    folder = scratch_path(spark, "partitioned")
+    rows = [(1, "same", "a"), (2, "same", "b"), (3, "other", "a"), (2, "same", "a"), (None, "same", "b"), (None, None, "b"), (4, None, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, part string").coalesce(1).write.partitionBy("part").parquet(folder)
+    got = Counter(map(tuple, exact_copies(spark.read.parquet(folder)).select("doc_id", "keep_id", "group_size", "kept").collect()))
+    assert got == Counter([(1, 2, 4, False), (2, 2, 4, True), (2, 2, 4, False), (None, 2, 4, False), (3, 3, 1, True), (None, 4, 2, False), (4, 4, 2, True)])
+    several = spark.read.parquet(f"{folder}/part=a", f"{folder}/part=b")
+    assert exact_copies(several).filter("kept").count() == 3
+
+
+def test_exact_copies_of_many_groups_beside_a_hot_one(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FREQUENT", 5)
+    rows = [(k, "hot" if k % 3 == 0 else f"text {k // 2}") for k in range(300)]
+    got = Counter(map(tuple, exact_copies(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "keep_id", "group_size", "kept").collect()))
+    groups = {}
+    for k, t in rows:
+        groups.setdefault(t, []).append(k)
+    assert got == Counter((k, max(groups[t]), len(groups[t]), k == max(groups[t])) for k, t in rows)
