@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from engramlake.functions.text import truncate_text
-from engramlake.operators import pack, retrieve
+from engramlake.operators import pack, retrieve, vector_index
 from engramlake.operators.filters import recall_eligible
 from engramlake.registry.core import query
 from engramlake.registry.stored import stored
@@ -165,6 +165,17 @@ def _scoped_vector_search(t):
     return retrieve.vector_search(t.sql(LABEL_QUERIES, "vectors"), vectors, 10, scopes=t.sql(LABEL_SCOPES, "vectors"))
 
 
+@query(
+    "ret4_indexed_search",
+    """SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+ SELECT q.query_id, v.id, round(list_cosine_similarity(CAST(q.vector AS DOUBLE[]), CAST(v.vector AS DOUBLE[])), 6) AS score FROM {label_queries} q CROSS JOIN {vectors} v) s) r WHERE rank <= 10""",
+    label_queries=LABEL_QUERIES,
+)
+def _indexed_search(t):
+    index = vector_index.build_vector_index(t.vectors.select("id", "vector"), 64)
+    return vector_index.indexed_search(t.sql(LABEL_QUERIES, "vectors"), index, 10, exact=True)
+
+
 AUDIT_HITS = """SELECT target_space AS query_id, concat('e', CAST(seq AS STRING)) AS id, value AS score, action = 'error' AS excluded FROM {audit}"""
 
 
