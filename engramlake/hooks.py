@@ -23,6 +23,10 @@ Embedder = Callable[[list[str]], list[list[float]]]
 Reranker = Callable[[str, list[str]], list[tuple[int, float]]]
 
 _PREFERENCE = re.compile(r"\bI prefer ([^.!?\n]+)")
+_STATEMENTS = (
+    ("user", re.compile(r"\bI (?:prefer|always|never)\b", re.ASCII)),
+    ("project", re.compile(r"\b(?:[Ii]n|[Ff]or) this project\b", re.ASCII)),
+)
 _NAME = re.compile(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b")
 
 
@@ -53,9 +57,14 @@ def name_extractor(context: dict) -> dict:
     return {"entities": [{"type": "concept", "canonical_name": name} for name in names], "relations": []}
 
 
-def retain_classifier(context: dict) -> dict:
-    """Keeps everything where it is."""
-    return {"category": "retain", "confidence": 1.0, "explicit": False, "claim_subject": "", "claim_value": ""}
+def statement_classifier(context: dict) -> dict:
+    """Explicit statements of the user go to the user, those about the project at hand to the project, the rest stays."""
+    content = context.get("content") or ""
+    found = next(((category, m) for category, pattern in _STATEMENTS if (m := pattern.search(content))), None)
+    if found is None:
+        return {"category": "retain", "confidence": 1.0, "explicit": False, "claim_subject": "", "claim_value": ""}
+    category, match = found
+    return {"category": category, "confidence": 0.95, "explicit": True, "claim_subject": match.group(0).lower(), "claim_value": content[match.end() :].split(".")[0].strip()}
 
 
 def _map_json(df: DataFrame, input_col: str, fn: Callable[[dict], dict], out: str) -> DataFrame:
@@ -86,7 +95,7 @@ def extract_entities(memories: DataFrame, extractor: Extractor = name_extractor)
     return _map_json(memories, "context", extractor, "raw")
 
 
-def classify_promotions(candidates: DataFrame, classifier: Classifier = retain_classifier) -> DataFrame:
+def classify_promotions(candidates: DataFrame, classifier: Classifier = statement_classifier) -> DataFrame:
     """Add ``raw`` (JSON decision) and ``error`` to promotion contexts."""
     return _map_json(candidates, "context", classifier, "raw")
 

@@ -88,7 +88,7 @@ def _entity_keys(t):
 
 
 CANDIDATE_MEMORIES = """SELECT doc_id, CASE WHEN doc_id % 41 = 0 THEN ' ' WHEN doc_id % 43 = 0 THEN concat('AKIA', upper(substr(md5(text), 1, 16))) ELSE id END AS memory_id,
- CASE WHEN doc_id % 47 = 0 THEN 'Bearer abcdefghijklmnopqrstuvwxyz' WHEN doc_id % 53 = 0 THEN '' ELSE source END AS content,
+ CASE WHEN doc_id % 47 = 0 THEN 'Bearer abcdefghijklmnopqrstuvwxyz' WHEN doc_id % 53 = 0 THEN '' ELSE text END AS content,
  CASE WHEN doc_id % 29 = 0 THEN 'draft' WHEN doc_id % 31 = 0 THEN ' ' ELSE lifecycle END AS lifecycle,
  CASE WHEN doc_id % 37 = 0 THEN '' WHEN doc_id % 23 = 0 THEN 'a,,b' ELSE concat('ref:', id, ', ref:x,ref:x') END AS refs, region_id,
  CASE WHEN doc_id % 59 = 0 THEN 'password=hunter2secret' ELSE region_id END AS region_name, 'topic' AS region_kind
@@ -97,11 +97,11 @@ CANDIDATE_MEMORIES = """SELECT doc_id, CASE WHEN doc_id % 41 = 0 THEN ' ' WHEN d
 
 @query(
     "ent2_eligible_memories",
-    """SELECT doc_id, CASE WHEN doc_id % 41 = 0 THEN 'memory_id is missing' WHEN doc_id % 43 = 0 THEN 'sensitive memory identifier' WHEN lifecycle = 'forgotten' THEN 'forgotten memory'
- WHEN lifecycle = 'draft' THEN 'unsupported memory lifecycle' WHEN refs IN ('', 'a,,b') OR content = '' OR doc_id % 47 = 0 OR doc_id % 59 = 0 THEN 'sensitive or missing graph input' ELSE 'eligible' END AS reason,
- CASE WHEN doc_id % 41 <> 0 AND doc_id % 43 <> 0 AND lifecycle NOT IN ('forgotten', 'draft') AND NOT (refs IN ('', 'a,,b') OR content = '' OR doc_id % 47 = 0 OR doc_id % 59 = 0)
- THEN concat('ref:', memory_id, ',ref:x') END AS source_references FROM {candidates}""",
-    candidates=CANDIDATE_MEMORIES,
+    """SELECT doc_id, reason, CASE WHEN reason = 'eligible' THEN concat('ref:', memory_id, ',ref:x') END AS source_references FROM (
+ SELECT c.doc_id, c.memory_id, CASE WHEN c.doc_id % 41 = 0 THEN 'memory_id is missing' WHEN c.doc_id % 43 = 0 THEN 'sensitive memory identifier' WHEN lifecycle = 'forgotten' THEN 'forgotten memory'
+ WHEN lifecycle = 'draft' THEN 'unsupported memory lifecycle' WHEN refs IN ('', 'a,,b') OR trim(coalesce(content, '')) = '' OR disposition IS NOT NULL OR c.doc_id % 59 = 0 THEN 'sensitive or missing graph input' ELSE 'eligible' END AS reason
+ FROM {candidates} c JOIN {judged} j ON j.doc_id = c.doc_id) x""",
+    **(SCREENING | {"scanned": "SELECT doc_id, content AS text FROM {candidates}", "candidates": CANDIDATE_MEMORIES}),
 )
 def _eligible_memories(t):
     rows = t.sql(CANDIDATE_MEMORIES, "documents", "units").withColumn("source_references", F.split("refs", ","))

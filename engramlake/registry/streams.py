@@ -151,9 +151,17 @@ def _extract_entities(t):
     return parsed.select("memory_id", F.explode("entities").alias("e")).select("memory_id", "e.canonical_name")
 
 
-@query("udf3_classify_promotions", "SELECT id, 'retain' AS category FROM {units}")
+# Whole texts, some with a statement behind them.
+STATED = """SELECT id, concat(content, CASE CAST(updated_s % 4 AS INT) WHEN 0 THEN ' I prefer short answers. In this project too.' WHEN 1 THEN ' For this project we use tabs.' WHEN 2 THEN ' this projection, I preferred' ELSE '' END) AS content FROM {units}"""
+
+
+@query(
+    "udf3_classify_promotions",
+    r"""SELECT id, CASE WHEN regexp_matches(content, '\bI (prefer|always|never)\b') THEN 'user' WHEN regexp_matches(content, '\b([Ii]n|[Ff]or) this project\b') THEN 'project' ELSE 'retain' END AS category FROM {stated}""",
+    stated=STATED,
+)
 def _classify_promotions(t):
-    contexts = t.units.select("id", hooks.memory_context(F.col("id"), F.col("content")).alias("context"))
+    contexts = t.sql(STATED, "units").select("id", hooks.memory_context(F.col("id"), F.col("content")).alias("context"))
     return hooks.classify_promotions(contexts).select("id", F.get_json_object("raw", "$.category").alias("category"))
 
 
