@@ -111,7 +111,7 @@ def _matrix(path: str | None, row: int, block_tokens: int):
         def batch(out):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-        for doc_id, ids in encoded_rows(batches, path):
+        for doc_id, ids in encoded_rows(batches, path, lasting=True):
             ids = np.append(ids, np.uint32(END_ID))
             for start in range(0, len(ids), row):
                 pieces.append((doc_id, start, ids[start : start + row], len(ids)))

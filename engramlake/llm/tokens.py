@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from engramlake.llm.store import release_memory
 
 CACHE_CHUNKS = 250_000
+LASTING_CHUNKS = 600_000  # where the worker has nothing else to do than to encode
 LONG_CHUNK = 256
 TEXT_BYTES = 1 << 20
 _MARK = "0"  # stands alone as a pre-token between the chunks of one call
@@ -30,9 +31,10 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Encodes texts; remembers two generations of at most ``CACHE_CHUNKS`` chunks each."""
+    """Encodes texts; remembers two generations of at most ``limit`` chunks each."""
 
-    def __init__(self, path: str | None = None) -> None:
+    def __init__(self, path: str | None = None, limit: int | None = None) -> None:
+        self.limit = limit or CACHE_CHUNKS
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -81,27 +83,29 @@ class Encoder:
         for chunk in new:
             if len(chunk) > LONG_CHUNK:
                 del self.young[chunk]
-        if len(self.young) > CACHE_CHUNKS:
+        if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         return ids
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoded_rows(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[tuple[int | None, np.ndarray]]:
+def encoded_rows(batches: Iterator[pa.RecordBatch], path: str | None, lasting: bool = False) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of every row of (doc_id, text) batches, in order; a null text is empty.
 
-    The vocabulary stays in the worker; the chunks of a task go with it, as other stages use the worker too.
+    The vocabulary stays in the worker. The chunks of a task go with it, as other stages use the worker too; with
+    ``lasting`` later tasks find more of them. Ids do not depend on either.
     """
     path = path or default_path()
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    encoder = _ENCODERS[path]
+    if (path, lasting) not in _ENCODERS:
+        _ENCODERS[path, lasting] = Encoder(path, LASTING_CHUNKS if lasting else None)
+    encoder = _ENCODERS[path, lasting]
     try:
         yield from _encoded(encoder, batches)
     finally:
-        encoder.forget()
+        if not lasting:
+            encoder.forget()
         release_memory()
 
 
