@@ -8,8 +8,11 @@ first, and two sets of similarity 0.8 share a shingle within their prefixes unde
 3. Group pairs are filtered by size and by position, expanded, and verified on the whole texts.
 
 Links are wanted as classes, so a shingle's groups are first compared with a few leaders; after
-that only groups that are still in different classes are compared with each other. A shingle that
-thousands of near copies share therefore costs a number of pairs linear in its groups.
+that only groups that are still in different classes are compared with each other, and only within
+the sizes that the position of their shingle leaves open. A shingle that thousands of near copies share
+therefore costs a number of pairs linear in its groups, and so does one that thousands of unlike texts
+share behind rarer ones. Unlike texts that begin with one shingle in the order and have about one size
+meet each other: their pairs are dealt out over tasks.
 
 The order only steers cost: shingles that repeat inside a batch of some thousand texts count as
 heavy and stand last. At most ``HEAVY`` of them are sent to the tasks (8 bytes each); any choice
@@ -36,6 +39,8 @@ HEAVY_IN_BATCH = 2
 LEADERS = 4
 BATCH_SHINGLES = 1 << 21
 BUCKET_ENTRIES = 1 << 20
+PART_ROWS = 1 << 14  # documents of one shingle that a task holds against the others
+LEVELS = 16  # size levels to a factor of e
 _ENTRY = np.dtype([("s", "<u8"), ("g", "<u8"), ("n", "<i4"), ("pos", "<i4")])
 
 
@@ -159,7 +164,8 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     columns = [entries["s"].view(np.int64) if entries["s"].flags.c_contiguous else np.ascontiguousarray(entries["s"]).view(np.int64)]
     columns.append(np.ascontiguousarray(entries["g"]).view(np.int64))
     columns += [np.ascontiguousarray(entries["n"]).astype(np.int64), np.ascontiguousarray(entries["pos"]).astype(np.int64)]
-    return pa.table([pa.array(x) for x in columns], names=["s", "g", "n", "pos"])
+    columns.append(np.full(len(entries), key[0].as_py() < 0))
+    return pa.table([pa.array(x) for x in columns], names=["s", "g", "n", "pos", "heavy"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,6 +190,42 @@ def _fits(left: str, right: str):
     return (100 * F.least(n, m) >= SIMILARITY * F.greatest(n, m)) & ((100 + SIMILARITY) * best >= SIMILARITY * (n + m))
 
 
+def _by_shingle(entries: DataFrame, per_shingle: DataFrame) -> DataFrame:
+    """``entries`` joined with a table of one row for each shingle.
+
+    The hot keys are the heavy shingles, and there are at most ``HEAVY`` rows of them: these are broadcast.
+    """
+    heavy = entries.filter("heavy").join(F.broadcast(per_shingle.filter("heavy").drop("heavy")), "s")
+    light = entries.filter("not heavy").join(per_shingle.filter("not heavy").drop("heavy"), "s")
+    return heavy.unionByName(light)
+
+
+def _apart_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): rows (s, pos, rep, n, component, parts) of one s and different components that ``_fits`` lets pass.
+
+    The bound of ``_fits`` reads, for either side, SIMILARITY * m <= 100 * n - (100 + SIMILARITY) * pos. So the
+    smaller set of a pair stands far enough in front to have partners of its own size, and the sizes of its partners
+    end at its reach: it goes to the levels from one to the other, and the larger set to its own level only.
+    """
+    n, reach = F.col("n"), (100 * F.col("n") - (100 + SIMILARITY) * F.col("pos")) / SIMILARITY
+
+    def level(size):
+        return F.floor(F.log(size.cast("double")) * LEVELS)
+
+    smaller = rows.filter(reach >= n).withColumn("level", F.explode(F.sequence(level(n), level(F.floor(reach)))))
+    smaller = smaller.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    larger = rows.withColumn("level", level(n)).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("s", "level", "part")]
+    ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep")))
+    met = smaller.alias("x").join(larger.alias("y"), same).filter(ordered & (F.col("x.component") != F.col("y.component")) & _fits("x", "y"))
+    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
+def _parts(rows: str):
+    """Over how many tasks the rows of one shingle are dealt."""
+    return F.ceil(F.col(rows) / PART_ROWS).alias("parts")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -196,7 +238,9 @@ def _global_order(docs: DataFrame) -> PrefixOrder:
     """The order, with the most repeated shingles as heavy: as many whole counts as fit in ``HEAVY``."""
     counts = keep(docs.select("text").mapInArrow(releasing(_repeated), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")), "repeated")
     kept, least = 0, 1 << 62
-    for row in counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.col("n").desc()).collect():
+    # counts from 10,000 on are told apart by four digits, so the driver sees at most 9,000 values for each power of ten
+    unit = F.pow(F.lit(10.0), F.greatest(F.length(F.col("n").cast("string")) - 4, F.lit(0))).cast("long")
+    for row in counts.groupBy((F.col("n") - F.col("n") % unit).alias("n")).count().orderBy(F.col("n").desc()).collect():
         kept += row["count"]
         if kept > HEAVY:
             break
@@ -220,7 +264,7 @@ def similar_classes(documents: DataFrame) -> DataFrame:
     buckets = 1 << max(4, math.ceil(math.log2(1 + total * (100 - SIMILARITY) / 100 / BUCKET_ENTRIES)))
     shared = (
         docs.filter("doc_id is not null").select("text").mapInArrow(releasing(_entries(order, buckets)), "bucket long, entries binary")
-        .groupBy("bucket").applyInArrow(_shared, "s long, g long, n long, pos long")
+        .groupBy("bucket").applyInArrow(_shared, "s long, g long, n long, pos long, heavy boolean")
     )
     shared = keep(shared, "shared-entries")
 
@@ -231,8 +275,9 @@ def similar_classes(documents: DataFrame) -> DataFrame:
     inner = sets.join(groups.filter("size > 1").select("g", "lead"), "g").filter("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
 
     # the group with the fewest rarer shingles before this one is the least edited: most others are close to it
-    leader = shared.groupBy("s").agg(F.min(F.struct("pos", F.xxhash64("g", F.col("s") % LEADERS).alias("h"), "g", "n")).alias("l"))
-    outer = shared.alias("x").join(leader, "s").filter((F.col("x.g") != F.col("l.g")) & _fits("x", "l")).select(F.col("x.g").alias("g"), F.col("l.g").alias("h"))
+    leader = shared.groupBy("s", "heavy").agg(F.min(F.struct("pos", F.xxhash64("g", F.col("s") % LEADERS).alias("h"), "g", "n")).alias("l"))
+    led = _by_shingle(shared.select("s", "heavy", F.struct("g", "n", "pos").alias("x")), leader)
+    outer = led.filter((F.col("x.g") != F.col("l.g")) & _fits("x", "l")).select(F.col("x.g").alias("g"), F.col("l.g").alias("h"))
     outer = outer.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct()
     leads = groups.select("g", F.col("lead"))
     outer = outer.join(leads, "g").withColumnRenamed("lead", "a").join(leads.withColumnsRenamed({"g": "h", "lead": "b"}), "h").select("a", "b")
@@ -249,18 +294,12 @@ def similar_classes(documents: DataFrame) -> DataFrame:
         sets.join(involved, "g", "left_semi").join(classes, F.col("rep") == F.col("id"), "left")
         .select("g", "rep", "n", F.coalesce("component", "rep").alias("component")), "placed",
     )
-    spans = placed.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    apart = shared.join(spans, "g").groupBy("s").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("s")
-    rows = keep(shared.join(apart, "s", "left_semi").select("s", "g", "pos").join(placed, "g"), "apart")
-    split = spans.filter("low < high").select("g")
-    rows_in = placed.join(split, "g", "left_semi").select(F.col("g").alias("s"), F.lit(0).cast("long").alias("pos"), "rep", "n", "component", "g")
-    both = rows.select("s", "pos", "rep", "n", "component", "g").unionByName(rows_in)
-    later = (
-        both.alias("x").join(both.alias("y"), F.col("x.s") == F.col("y.s"))
-        .filter((F.col("x.component") < F.col("y.component")) & _fits("x", "y"))
-        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
+    spans = placed.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+    apart = shared.join(spans, "g").groupBy("s", "heavy").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("size").alias("size")).filter("low < high")
+    rows = _by_shingle(shared.select("s", "heavy", "g", "pos"), apart.select("s", "heavy", _parts("size"))).drop("heavy").join(placed, "g")
+    inside = placed.join(spans.filter("low < high").select("g", _parts("size")), "g").withColumns({"s": F.col("g"), "pos": F.lit(0).cast("long")})
+    rows = keep(rows.unionByName(inside), "apart")
+    later = _apart_pairs(rows).join(first, ["a", "b"], "left_anti")
     links = keep(links.union(_verify(keep(later, "later-pairs"), texts)), "all-links")
     classes = components(links)
     named = sets.select("digest", "rep").join(classes, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
