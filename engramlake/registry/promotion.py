@@ -80,16 +80,16 @@ def _check_candidates(t):
     )
 
 
-# Sentences built around a word of every event, one for each rule and for each exception.
+# Whole texts of all events behind a sentence, one for each rule and for each exception.
 WORD = "regexp_extract(lower(content), '([a-z][a-z]+)', 1)"
 SENTENCES = f"""SELECT candidate_id, w, k, CASE WHEN k IN (1, 2, 10) THEN 'preference' ELSE 'domain_fact' END AS memory_type,
- CASE k WHEN 0 THEN concat('The ', w, ' service retries when it fails.') WHEN 1 THEN concat('The user prefers ', w, ' and concise answers.') WHEN 2 THEN concat('用户偏好', w, '和简洁回答。')
+ concat(CASE k WHEN 0 THEN concat('The ', w, ' service retries when it fails.') WHEN 1 THEN concat('The user prefers ', w, ' and concise answers.') WHEN 2 THEN concat('用户偏好', w, '和简洁回答。')
  WHEN 3 THEN concat('It requires ', w, ' audits.') WHEN 4 THEN concat('The user says it requires ', w, '.') WHEN 5 THEN concat('This project uses ', w, '.') WHEN 6 THEN concat('We will deploy ', w, ' tomorrow.')
  WHEN 7 THEN concat('Is ', w, ' supported?') WHEN 8 THEN concat('The ', w, ' mentioned above is required.') WHEN 9 THEN concat('The project supports ', w, ', Linux, and macOS.')
- WHEN 10 THEN concat('The user prefers ', w, ' mode.') WHEN 11 THEN '外部网络访问不使用代理' WHEN 12 THEN concat('The ', w, ' policy requires approval because this reduces risk.') ELSE concat('The API uses ', w, ' and requires caching.') END AS content,
- CASE WHEN k = 11 THEN '不用走代理' WHEN k = 12 THEN concat('please use ', w) ELSE w END AS evidence_snippet,
- CASE WHEN k = 11 AND w < 'm' THEN '这次不用走代理' WHEN k = 11 THEN '不用走代理' ELSE w END AS cited_text
- FROM (SELECT event_id AS candidate_id, coalesce(nullif({WORD}, ''), 'thing') AS w, CAST((occurred_s / 60) % 14 AS INT) AS k FROM {{captures}}) v"""
+ WHEN 10 THEN concat('The user prefers ', w, ' mode.') WHEN 11 THEN '外部网络访问不使用代理' WHEN 12 THEN concat('The ', w, ' policy requires approval because this reduces risk.') ELSE concat('The API uses ', w, ' and requires caching.') END, ' ', whole) AS content,
+ CASE WHEN k = 11 THEN '不用走代理' WHEN k = 12 THEN concat('please use ', whole) ELSE whole END AS evidence_snippet,
+ concat(CASE WHEN k = 11 AND w < 'm' THEN '这次不用走代理 ' WHEN k = 11 THEN '不用走代理 ' WHEN k = 12 THEN 'please use ' ELSE '' END, whole) AS cited_text
+ FROM (SELECT event_id AS candidate_id, coalesce(nullif({WORD}, ''), 'thing') AS w, coalesce(content, '') AS whole, CAST((occurred_s / 60) % 14 AS INT) AS k FROM {{captures}}) v"""
 
 
 def gates_sql() -> str:
