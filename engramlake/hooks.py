@@ -27,7 +27,7 @@ _STATEMENTS = (
     ("user", re.compile(r"\bI (?:prefer|always|never)\b", re.ASCII)),
     ("project", re.compile(r"\b(?:[Ii]n|[Ff]or) this project\b", re.ASCII)),
 )
-_NAME = re.compile(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b")
+_NAME = re.compile(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b", re.ASCII)
 
 
 def preference_extractor(context: dict) -> dict:

@@ -10,6 +10,7 @@ from engramlake.registry.core import query
 from engramlake.registry.promotion import WORD
 from engramlake.registry.recall import text_index
 from engramlake.registry.rounds import fingerprint_sql
+from engramlake.registry.screening import CTES as SCREENING
 from engramlake.session import scratch_path
 from engramlake.sources.captures import CAPTURE_FIELDS, split_captures
 from engramlake.sources.extractions import parse_extractions
@@ -100,14 +101,19 @@ def _stream_replay(t):
     return kept.unionByName(bad).groupBy("kind", "content_hash").agg(F.count(F.lit(1)).alias("n"))
 
 
-NAMED = f"""SELECT region_id, id AS memory_id, concat('Works with Acme ', upper(substr({WORD}, 1, 1)), lower(substr({WORD}, 2, 5)), ' today.') AS content, CASE WHEN lifecycle = 'forgotten' THEN 'archived' ELSE lifecycle END AS lifecycle, updated_s, region_id AS region_name, 'topic' AS region_kind FROM {{units}}"""
+# Whole texts behind a sentence that names something.
+NAMED = f"""SELECT region_id, id AS memory_id, concat('Works with Acme ', upper(substr(w, 1, 1)), substr(w, 2), ' today. ', content) AS content, CASE WHEN lifecycle = 'forgotten' THEN 'archived' ELSE lifecycle END AS lifecycle, updated_s, region_id AS region_name, 'topic' AS region_kind
+ FROM (SELECT *, coalesce(nullif({WORD}, ''), 'thing') AS w FROM {{units}}) v"""
+NAMES_SQL = r"""SELECT DISTINCT region_id, memory_id, unnest(regexp_extract_all(content, '\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b')) AS canonical_name FROM {named}"""
 
 
 @query(
     "str4_stream_graph",
-    """SELECT region_id, regexp_extract(content, '(Acme [A-Z][a-z]+)', 1) AS canonical_name, count(*) AS n_memories FROM {named} GROUP BY 1, 2
+    """SELECT region_id, canonical_name, count(*) AS n_memories FROM {names} JOIN {judged} ON doc_id = memory_id WHERE disposition IS NULL GROUP BY 1, 2
  UNION ALL SELECT DISTINCT region_id, 'status:ready', 0 FROM {named}""",
     named=NAMED,
+    names=NAMES_SQL,
+    **(SCREENING | {"scanned": "SELECT memory_id AS doc_id, content AS text FROM {named}"}),
 )
 def _stream_graph(t):
     source, memories, graph, status = (scratch_path(t.spark, n) for n in ("published", "memories", "graph", "status"))
@@ -142,8 +148,9 @@ def _extract_memories(t):
 
 @query(
     "udf2_extract_entities",
-    "SELECT memory_id, regexp_extract(content, '(Acme [A-Z][a-z]+)', 1) AS canonical_name FROM {named}",
+    "SELECT memory_id, canonical_name FROM {names}",
     named=NAMED,
+    names=NAMES_SQL,
 )
 def _extract_entities(t):
     contexts = t.sql(NAMED, "units").select("memory_id", hooks.memory_context(F.col("memory_id"), F.col("content")).alias("context"))
