@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from engramlake.functions.text import truncate_text
-from engramlake.operators import pack, retrieve, vector_index
+from engramlake.operators import block_index, pack, retrieve, vector_index
 from engramlake.operators.filters import recall_eligible
 from engramlake.registry.core import query
-from engramlake.registry.stored import stored
+from engramlake.registry.stored import stored_at
 
 SEGMENTS = r"regexp_extract_all(lower({}), '\p{Han}+|[^\p{Han}\p{P}\p{S}\p{Z}\p{C}]+')".replace("{}", "%s", 1)
 PAIRS = (
@@ -50,16 +50,17 @@ TEXT_CTES = {
 }
 
 
-def text_index(t) -> retrieve.TextIndex:
+FOLDERS = 16
+
+
+def blocks_index(t) -> block_index.BlockIndex:
     """The stored index of the eligible units."""
-    def fresh():
-        return retrieve.build_text_index(recall_eligible(t.units))
+    path = stored_at(t, "block-index", lambda folder: block_index.build_block_index(recall_eligible(t.units), folder, FOLDERS))
+    return block_index.open_block_index(t.spark, path, FOLDERS)
 
-    return retrieve.TextIndex(
-        postings=stored(t, "postings", lambda: fresh().postings),
-        terms=stored(t, "term-frequencies", lambda: stored(t, "postings", lambda: fresh().postings).groupBy("term").agg(F.count(F.lit(1)).alias("df"))),
-        stats=stored(t, "index-stats", lambda: fresh().stats),
-    )
+
+def text_index(t) -> retrieve.TextIndex:
+    return blocks_index(t).text_index
 
 
 @query(
@@ -68,7 +69,7 @@ def text_index(t) -> retrieve.TextIndex:
     **TEXT_CTES,
 )
 def _build_text_index(t):
-    index = retrieve.build_text_index(recall_eligible(t.units))
+    index = text_index(t)
     return index.postings.join(index.terms, "term").select("term", "id", "tf", "doc_len", "df")
 
 
@@ -77,6 +78,11 @@ def _bm25_search(t):
     return retrieve.bm25_search(t.recall_queries, text_index(t), 10)
 
 
+@query("ret3_block_search", "SELECT query_id, id, score, rank FROM {bm25}", **TEXT_CTES)
+def _block_search(t):
+    return block_index.block_search(t.recall_queries, blocks_index(t), 10)
+
+
 # One query vector per label: the vector with the lowest id.
 LABEL_QUERIES = "SELECT scope_space AS query_id, min_by(vector, CAST(substr(id, 2) AS BIGINT)) AS vector FROM {vectors} GROUP BY scope_space"
 

@@ -24,15 +24,21 @@ def data_version(t: Tables) -> str:
     return str(files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)"))).first()[0])
 
 
-def stored(t: Tables, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` derived from this version of the data folder, written on first use."""
+def stored_at(t: Tables, name: str, write: Callable[[str], object]) -> str:
+    """The folder ``name`` derived from this version of the data folder, filled by ``write`` on first use."""
     key = (t.spark.sparkContext.applicationId, f"{t.path}@{data_version(t)}", name)
     if key in _PATHS:
         try:
-            return t.spark.read.parquet(_PATHS[key])
+            t.spark.read.parquet(_PATHS[key])
+            return _PATHS[key]
         except AnalysisException:  # the shared folder was cleaned
             del _PATHS[key]
     path = scratch_path(t.spark, name)
-    build().write.parquet(path)
+    write(path)
     _PATHS[key] = path
-    return t.spark.read.parquet(path)
+    return path
+
+
+def stored(t: Tables, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` derived from this version of the data folder, written on first use."""
+    return t.spark.read.parquet(stored_at(t, name, lambda path: build().write.parquet(path)))
