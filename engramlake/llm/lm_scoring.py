@@ -1,19 +1,22 @@
-"""LM scoring: a log-bilinear model trained by noise-contrastive estimation.
+"""LM scoring: a log-bilinear model trained by noise-contrastive estimation, whose size grows with the corpus.
 
-A token is predicted as its class: the ``WORD_CLASSES`` most frequent words and the end have their own, all other words
-share ``SUFFIX_CLASSES`` classes by their last three bytes, and inside such a class a word has its smoothed relative
-frequency. The class is predicted from the two tokens before it, r = R[c1] C1 + R[c2] C2 and
-logit = r . Q[class] + b[class], and contexts are mapped to ``CONTEXTS`` classes each. So there are ``CONTEXTS`` squared
-contexts, and all their normalisers come from batched matrix products: probabilities sum to one.
+With N training tokens the ``8 N^(1/3)`` most frequent words, the end among them, are classes of their own; all other words share
+``N^(1/3)`` classes by their last three bytes, and inside such a class a word has its smoothed relative frequency.
+Every class is also a context: r = R[c1] C1 + R[c2] C2 for the two tokens before. Classes in order of frequency are cut into
+about square root groups of equal size; p(class) = p(group) p(class in its group), logits r . G[group] + a[group] and
+r . Q[class] + b[class]. Both factors are normalised exactly with batched matrix products over the groups and over the
+members of the token's own group, so probabilities sum to one and a token costs about twice the square root of the number of classes.
+At 10^13 tokens there are some 200,000 classes, 40 MB of parameters.
 
 Counts cover every training token. Every task trains from the same start over all training tokens of its split, and
-the parameters are averaged by tokens: what is shuffled grows with the number of splits. The
+each row of the parameters is averaged by how often a split met it: only rows met are shuffled. The
 most frequent words (at most ``KNOWN_WORDS``) are sent to the tasks with their counts; all other words are
 joined with the table of counts.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,13 +31,11 @@ from pyspark.sql import functions as F
 
 from engramlake.llm.store import keep
 
-WORD_CLASSES = 2000
-SUFFIX_CLASSES = 256
-CONTEXTS = 256
-OWN_CONTEXTS = 160
+OWN_WORDS = 8  # times the cube root of the training tokens
 DIM = 24
 NOISE = 32
 BATCH = 1024
+HELD_BATCHES = 64  # tokens are kept for so many batches, sorted by group for the inner factor
 RATE = 0.15
 KNOWN_WORDS = 200_000
 HELD_OUT = 1
@@ -42,6 +43,8 @@ END = b"\n"  # no word holds white space
 COUNT_FLUSH = 300_000
 TEXT_BYTES = 4 << 20
 
+VALUES = [f"v{k}" for k in range(DIM + 1)]
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -76,8 +79,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def suffix_class(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % SUFFIX_CLASSES
+def cube_root(n: int) -> int:
+    return max(1, round(n ** (1 / 3)))
+
+
+def suffix_class(word: bytes, classes: int) -> int:
+    return zlib.crc32(word[-3:]) % classes
 
 
 @dataclass
@@ -91,23 +98,23 @@ class Vocabulary:
     suffix_total: np.ndarray
     suffix_distinct: np.ndarray
 
+    @property
+    def own(self) -> int:
+        """Words that are classes of their own."""
+        return min(len(self.words), OWN_WORDS * cube_root(self.total))
+
     def prepare(self) -> None:
         self.place = {w: k for k, w in enumerate(self.words)}
-        n = len(self.words)
-        own = min(n, WORD_CLASSES)
-        suffix = np.fromiter((suffix_class(w) for w in self.words), np.int64, n)
-        self.cls = np.where(np.arange(n) < own, np.arange(n), WORD_CLASSES + suffix)
+        n, own, self.suffixes = len(self.words), self.own, len(self.suffix_total)
+        suffix = np.fromiter((suffix_class(w, self.suffixes) for w in self.words), np.int64, n)
+        self.cls = np.where(np.arange(n) < own, np.arange(n), own + suffix)
         logs = np.log10(self.counts + 0.5)
         self.base_denominator = np.log10(self.total + 0.5 * (self.distinct + 1))
         self.suffix_denominator = np.log10(np.maximum(self.suffix_total + 0.5 * (self.suffix_distinct + 1), 0.5))
         self.base = logs - self.base_denominator
         self.inner = np.where(np.arange(n) < own, 0.0, logs - self.suffix_denominator[suffix])
-        # a class of its own that the table does not fill is given no mass by the bias
-        self.class_counts = np.concatenate([np.pad(self.counts[:own], (0, WORD_CLASSES - own)), self.suffix_total + 0.5 * (self.suffix_distinct + 1)]).astype(np.float64)
-        self.context = np.concatenate([np.arange(OWN_CONTEXTS), np.zeros(WORD_CLASSES - OWN_CONTEXTS, np.int64), OWN_CONTEXTS + np.arange(SUFFIX_CLASSES) % (CONTEXTS - OWN_CONTEXTS - 1)])
-        for k in range(OWN_CONTEXTS, WORD_CLASSES):
-            self.context[k] = self.context[WORD_CLASSES + (suffix[k] if k < n else 0)]
-        self.start = CONTEXTS - 1
+        self.class_counts = np.concatenate([self.counts[:own], self.suffix_total + 0.5 * (self.suffix_distinct + 1)]).astype(np.float64)
+        self.start = len(self.class_counts)
 
     def look_up(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(place in the table or -1, class) of every token."""
@@ -115,12 +122,12 @@ class Vocabulary:
         places = np.fromiter((get(w, -1) for w in found), np.int64, len(found))
         classes = self.cls[places] if len(self.cls) else np.zeros(len(found), np.int64)
         for k in np.flatnonzero(places < 0):
-            classes[k] = WORD_CLASSES + suffix_class(found[k])
+            classes[k] = self.own + suffix_class(found[k], self.suffixes)
         return places, classes
 
     def contexts(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Context classes of the token before and of the one before that, within one text."""
-        before = np.concatenate([[self.start, self.start], self.context[classes]])
+        """Classes of the token before and of the one before that, within one text."""
+        before = np.concatenate([[self.start, self.start], classes])
         return before[1:-1], before[:-2]
 
 
@@ -131,94 +138,132 @@ def _scatter(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return index[heads], np.add.reduceat(values[order], heads, axis=0)
 
 
+def _log_sums(logits: np.ndarray) -> np.ndarray:
+    top = logits.max(1)
+    return top + np.log(np.exp(logits - top[:, None]).sum(1))
+
+
 class LogBilinear:
-    """Parameters, one pass of noise-contrastive training, and exact class probabilities."""
+    """Parameters, one pass of noise-contrastive training, and exact class probabilities.
 
-    NAMES = ("r", "c1", "c2", "q", "b")
+    All parameters are rows of one table, the last column is the bias: contexts ("r"), the two matrices, groups ("g"), classes ("q").
+    """
 
     def __init__(self, class_counts: np.ndarray, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
         classes = len(class_counts)
-        self.log_noise = np.log((class_counts + 1e-3) / (class_counts + 1e-3).sum()).astype(np.float32)
-        self.p = {
-            "r": rng.normal(0, 0.3, (CONTEXTS, DIM)).astype(np.float32),
-            "c1": np.eye(DIM, dtype=np.float32),
-            "c2": (0.5 * np.eye(DIM)).astype(np.float32),
-            "q": rng.normal(0, 0.05, (classes, DIM)).astype(np.float32),
-            "b": self.log_noise.astype(np.float32),
+        self.size = max(1, math.ceil(math.sqrt(classes)))
+        mass = class_counts + 1e-3
+        self.group_start = np.arange(0, classes, self.size)
+        group_mass = np.add.reduceat(mass, self.group_start)
+        inner = mass / np.repeat(group_mass, self.size)[:classes]
+        self.noise = {"g": np.log(group_mass / group_mass.sum()).astype(np.float32), "q": np.log(inner).astype(np.float32)}
+        parts = {
+            "r": rng.normal(0, 0.3, (classes + 1, DIM)),
+            "c1": np.eye(DIM),
+            "c2": 0.5 * np.eye(DIM),
+            "g": rng.normal(0, 0.05, (len(group_mass), DIM)),
+            "q": rng.normal(0, 0.05, (classes, DIM)),
         }
+        bias = [self.noise.get(k, np.zeros(len(v))) for k, v in parts.items()]
+        self.table = np.column_stack([np.concatenate(list(parts.values())), np.concatenate(bias)]).astype(np.float32)
+        at = np.cumsum([0, *(len(v) for v in parts.values())])
+        self.rows = {k: slice(at[i], at[i + 1]) for i, k in enumerate(parts)}
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in self.NAMES])
-
-    def load(self, values: np.ndarray) -> None:
-        at = 0
-        for k in self.NAMES:
-            size = self.p[k].size
-            self.p[k] = values[at : at + size].reshape(self.p[k].shape).astype(np.float32)
-            at += size
+    def part(self, name: str) -> np.ndarray:
+        return self.table[self.rows[name]]
 
     def start_training(self, seed: int) -> None:
         self.rng = np.random.default_rng(seed)
-        self.squares = {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.p.items()}
-        self.cumulative = np.cumsum(np.exp(self.log_noise.astype(np.float64)))
-
-    def _step(self, name: str, rows: np.ndarray | None, grad: np.ndarray) -> None:
-        p, s = self.p[name], self.squares[name]
-        if rows is None:
-            s += grad**2
-            p -= RATE * grad / np.sqrt(s)
-        else:
-            s[rows] += grad**2
-            p[rows] -= RATE * grad / np.sqrt(s[rows])
-
-    def learn(self, classes: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
-        """One batch: true classes against ``NOISE`` classes drawn for the whole batch."""
-        p = self.p
-        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE) * self.cumulative[-1]), len(self.cumulative) - 1)
-        left, right = p["r"][first], p["r"][second]
-        r = left @ p["c1"] + right @ p["c2"]
-        q, qn = p["q"][classes], p["q"][noise]
-        log_k = np.float32(np.log(NOISE))
-        true = (r * q).sum(1) + p["b"][classes] - (log_k + self.log_noise[classes])
-        false = r @ qn.T + p["b"][noise] - (log_k + self.log_noise[noise])
-        size = np.float32(len(classes))
-        gt = (-1 / (1 + np.exp(np.clip(true, -30, 30))) / size).astype(np.float32)
+        self.squares = np.full(self.table.shape, 1e-2, np.float32)
+        self.met = np.zeros(len(self.table), np.float64)
+        self.cumulative = {k: np.cumsum(np.exp(self.noise[k].astype(np.float64))) for k in self.noise}
+
+    def _step(self, name: str, rows: np.ndarray, grad: np.ndarray) -> None:
+        rows = rows + self.rows[name].start
+        self.squares[rows, : grad.shape[1]] += grad**2
+        self.table[rows, : grad.shape[1]] -= RATE * grad / np.sqrt(self.squares[rows, : grad.shape[1]])
+
+    def _draw(self, name: str, first: int, end: int) -> np.ndarray:
+        steps = self.cumulative[name]
+        below = steps[first - 1] if first else 0.0
+        drawn = np.searchsorted(steps, below + self.rng.random(NOISE) * (steps[end - 1] - below))
+        return np.clip(drawn, first, end - 1)
+
+    def _contrast(self, name: str, true: np.ndarray, noise: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
+        """One batch: true rows of a part against noise rows drawn for the whole batch."""
+        outer, c1, c2 = self.part(name), self.part("c1")[:, :-1], self.part("c2")[:, :-1]
+        left, right = self.part("r")[first, :-1], self.part("r")[second, :-1]
+        r = left @ c1 + right @ c2
+        q, qn, log_noise = outer[true], outer[noise], self.noise[name] + np.float32(np.log(NOISE))
+        size = np.float32(len(true))
+        above = (r * q[:, :-1]).sum(1) + q[:, -1] - log_noise[true]
+        false = r @ qn[:, :-1].T + qn[:, -1] - log_noise[noise]
+        gt = (-1 / (1 + np.exp(np.clip(above, -30, 30))) / size).astype(np.float32)
         gf = (1 / (1 + np.exp(-np.clip(false, -30, 30))) / size).astype(np.float32)
-        dr = gt[:, None] * q + gf @ qn
+        dr = gt[:, None] * q[:, :-1] + gf @ qn[:, :-1]
         d1, d2 = left.T @ dr, right.T @ dr
-        rows, grads = _scatter(np.concatenate([first, second]), np.concatenate([dr @ p["c1"].T, dr @ p["c2"].T]))
-        index = np.concatenate([classes, noise])
+        rows, grads = _scatter(np.concatenate([first, second]), np.concatenate([dr @ c1.T, dr @ c2.T]))
+        index = np.concatenate([true, noise])
         places, dq = _scatter(index, np.concatenate([np.column_stack([gt[:, None] * r, gt]), np.column_stack([gf.T @ r, gf.sum(0)])]))
         self._step("r", rows, grads)
-        self._step("c1", None, d1)
-        self._step("c2", None, d2)
-        self._step("q", places, dq[:, :-1])
-        self._step("b", places, dq[:, -1])
-
-    def normalisers(self) -> np.ndarray:
-        """log of the sum over all classes for every pair of context classes."""
-        p = self.p
-        near, far = p["r"] @ p["c1"], p["r"] @ p["c2"]
-        out = np.empty((CONTEXTS, CONTEXTS), np.float64)
-        for c in range(CONTEXTS):
-            logits = (near[c] + far) @ p["q"].T + p["b"]
-            top = logits.max(1)
-            out[c] = top + np.log(np.exp(logits - top[:, None]).sum(1, dtype=np.float64))
-        return out.ravel()
+        self._step("c1", np.arange(DIM), d1)
+        self._step("c2", np.arange(DIM), d2)
+        self._step(name, places, dq)
+
+    def _meet(self, name: str, index: np.ndarray) -> None:
+        place = self.rows[name]
+        self.met[place] += np.bincount(index, minlength=place.stop - place.start)
+
+    def learn(self, classes: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
+        """Groups in batches as the tokens come, then members of one group a batch, batches in any order."""
+        groups = classes // self.size
+        for at in range(0, len(classes), BATCH):
+            part = slice(at, at + BATCH)
+            self._contrast("g", groups[part], self._draw("g", 0, len(self.group_start)), first[part], second[part])
+        order = np.argsort(groups, kind="stable")
+        bounds = np.searchsorted(groups[order], np.arange(len(self.group_start) + 1))
+        batches = [(g, at, min(at + BATCH, bounds[g + 1])) for g in range(len(self.group_start)) for at in range(bounds[g], bounds[g + 1], BATCH)]
+        for k in self.rng.permutation(len(batches)):
+            g, at, end = batches[k]
+            rows, begin = order[at:end], self.group_start[g]
+            members = min(begin + self.size, len(self.noise["q"]))
+            self._contrast("q", classes[rows], self._draw("q", begin, members), first[rows], second[rows])
+        for name, index in (("r", first), ("r", second), ("g", groups), ("q", classes)):
+            self._meet(name, index)
+        self.met[self.rows["c1"]] += len(classes)
+        self.met[self.rows["c2"]] += len(classes)
 
     def prepare(self) -> None:
-        self.near, self.far = self.p["r"] @ self.p["c1"], self.p["r"] @ self.p["c2"]
+        r = self.part("r")[:, :-1]
+        self.near, self.far = r @ self.part("c1")[:, :-1], r @ self.part("c2")[:, :-1]
 
-    def log10(self, classes: np.ndarray, first: np.ndarray, second: np.ndarray, normalisers: np.ndarray) -> np.ndarray:
+    def log10(self, classes: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of every token's class."""
-        logits = np.einsum("ij,ij->i", self.near[first] + self.far[second], self.p["q"][classes]) + self.p["b"][classes]
-        return (logits - normalisers[first * CONTEXTS + second]) / np.log(10)
+        out = np.empty(len(classes))
+        g, q = self.part("g"), self.part("q")
+        for at in range(0, len(classes), HELD_BATCHES * BATCH):
+            part = slice(at, at + HELD_BATCHES * BATCH)
+            r, own = self.near[first[part]] + self.far[second[part]], classes[part]
+            groups = own // self.size
+            logits = r @ g[:, :-1].T + g[:, -1]
+            logs = logits[np.arange(len(own)), groups] - _log_sums(logits)
+            order = np.argsort(groups, kind="stable")
+            bounds = np.searchsorted(groups[order], np.arange(len(self.group_start) + 1))
+            for k in np.flatnonzero(np.diff(bounds)):
+                rows, begin = order[bounds[k] : bounds[k + 1]], self.group_start[k]
+                members = q[begin : begin + self.size]
+                logits = r[rows] @ members[:, :-1].T + members[:, -1]
+                logs[rows] += logits[np.arange(len(rows)), own[rows] - begin] - _log_sums(logits)
+            out[part] = logs / np.log(10)
+        return out
 
 
 def vocabulary(counts: DataFrame, known_words: int = KNOWN_WORDS) -> Vocabulary:
     """From the full table (word, c): its most frequent words by whole counts, and totals."""
-    suffix = F.crc32(F.expr("substring(word, -3)")) % SUFFIX_CLASSES
+    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    classes = cube_root(n)
+    suffix = F.crc32(F.expr("substring(word, -3)")) % classes
     kept, least = 0, 1 << 62
     for row in counts.groupBy(F.least("c", F.lit(100_000)).alias("c")).count().orderBy(F.col("c").desc()).collect():
         kept += row["count"]
@@ -229,15 +274,14 @@ def vocabulary(counts: DataFrame, known_words: int = KNOWN_WORDS) -> Vocabulary:
     words, values = known.column("word").to_pylist(), known.column("c").to_numpy()
     order = sorted(range(len(words)), key=lambda k: (-values[k], words[k]))
     words, values = [words[k] for k in order], values[order] if len(order) else np.zeros(0, np.int64)
-    total, distinct = np.zeros(SUFFIX_CLASSES), np.zeros(SUFFIX_CLASSES)
-    n = v = 0
-    for row in counts.groupBy(suffix.alias("s")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+    total, distinct = np.zeros(classes), np.zeros(classes)
+    for row in counts.groupBy(suffix.alias("s")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():  # at most ``classes`` rows
         total[row.s], distinct[row.s] = row.c, row.v
-        n, v = n + row.c, v + row.v
-    for word, c in zip(words[:WORD_CLASSES], values[:WORD_CLASSES], strict=True):
-        total[suffix_class(word)] -= c
-        distinct[suffix_class(word)] -= 1
-    return Vocabulary(words, np.asarray(values, np.int64), int(n), int(v), total, distinct)
+    found = Vocabulary(words, np.asarray(values, np.int64), int(n), int(v), total, distinct)
+    for word, c in zip(words[: found.own], values[: found.own], strict=True):
+        total[suffix_class(word, classes)] -= c
+        distinct[suffix_class(word, classes)] -= 1
+    return found
 
 
 def _trained(shared):
@@ -247,43 +291,38 @@ def _trained(shared):
         model = LogBilinear(words.class_counts)
         model.start_training(TaskContext.get().partitionId())
         held: list[tuple] = []
-        waiting = seen = 0
+        waiting = 0
 
-        def learn(everything: bool) -> None:
+        def learn() -> None:
             nonlocal held, waiting
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            end = waiting if everything else waiting - waiting % BATCH
-            for at in range(0, end, BATCH):
-                model.learn(*(c[at : min(at + BATCH, end)] for c in columns))
-            held, waiting = [tuple(c[end:] for c in columns)], waiting - end
+            for at in range(0, waiting, HELD_BATCHES * BATCH):
+                model.learn(*(c[at : at + HELD_BATCHES * BATCH] for c in columns))
+            held, waiting = [], 0
 
         for batch in batches:
             for text in _texts(batch):
                 _, classes = words.look_up(tokens(text))
                 held.append((classes, *words.contexts(classes)))
                 waiting += len(classes)
-                seen += len(classes)
-                if waiting >= 64 * BATCH:
-                    learn(False)
+                if waiting >= HELD_BATCHES * BATCH:
+                    learn()
         if waiting:
-            learn(True)
-        if seen:
-            values = model.flat()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values.astype(np.float64) * seen), pa.array(np.full(len(values), seen, np.int64))], ["at", "value", "n"]
-            )
+            learn()
+        rows = np.flatnonzero(model.met)
+        values = model.table[rows].astype(np.float64) * model.met[rows, None]
+        yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(model.met[rows]), *(pa.array(values[:, k]) for k in range(DIM + 1))], ["at", "n", *VALUES])
 
     return run
 
 
-def _scored(shared, weights, normalisers):
+def _scored(shared, weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Vocabulary = shared.value
         words.prepare()
         model = LogBilinear(words.class_counts)
-        model.load(weights.value)
+        model.table = weights.value
         model.prepare()
-        table = normalisers.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             out = []
@@ -295,7 +334,7 @@ def _scored(shared, weights, normalisers):
                 missing = np.flatnonzero(~sure)
                 rare = Counter(found[k] for k in missing)
                 base = words.base[known].sum() - len(missing) * words.base_denominator
-                score = model.log10(classes, *words.contexts(classes), table).sum() + words.inner[known].sum() - words.suffix_denominator[classes[missing] - WORD_CLASSES].sum()
+                score = model.log10(classes, *words.contexts(classes)).sum() + words.inner[known].sum() - words.suffix_denominator[classes[missing] - words.own].sum()
                 out.append((row, doc_id, len(found), len(known), float(base), float(score), list(rare), list(rare.values())))
                 row += 1
             names = ["row", "doc_id", "n_tokens", "n_sure", "base", "score", "rare", "times"]
@@ -319,16 +358,15 @@ def score_texts(documents: DataFrame, known_words: int = KNOWN_WORDS) -> DataFra
     counts = keep(learned.mapInArrow(_counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
     words = vocabulary(counts, known_words)
     shared = context.broadcast(words)
-    parameters = learned.mapInArrow(_trained(shared), "at int, value double, n long").groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).toArrow()
+    schema = "at int, n double, " + ", ".join(f"{v} double" for v in VALUES)
+    trained = learned.mapInArrow(_trained(shared), schema).groupBy("at").agg(*((F.sum(v) / F.sum("n")).alias(v) for v in VALUES)).toArrow()  # one row per row of parameters
     words.prepare()
     model = LogBilinear(words.class_counts)
-    if parameters.num_rows:
-        values = np.empty(parameters.num_rows)
-        values[parameters.column("at").to_numpy()] = parameters.column("value").to_numpy()
-        model.load(values)
-    weights, normalisers = context.broadcast(model.flat()), context.broadcast(model.normalisers())
+    if trained.num_rows:
+        model.table[trained.column("at").to_numpy()] = np.column_stack([trained.column(v).to_numpy() for v in VALUES])
+    weights = context.broadcast(model.table)
     schema = "row long, doc_id long, n_tokens long, n_sure long, base double, score double, rare array<binary>, times array<long>"
-    scored = keep(docs.mapInArrow(_scored(shared, weights, normalisers), schema), "scored")
+    scored = keep(docs.mapInArrow(_scored(shared, weights), schema), "scored")
 
     # words beyond the table: their counts come by join
     spread = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))

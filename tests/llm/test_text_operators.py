@@ -263,23 +263,52 @@ def test_lm_base_scores(docs):
 
 
 def test_lm_probabilities_sum_to_one():
-    words = [b"the", b"of", b"\n", b"abc", b"abd", b"xyz"]
-    counts = np.array([50, 40, 30, 3, 2, 1])
-    total, distinct = np.zeros(lm_scoring.SUFFIX_CLASSES), np.zeros(lm_scoring.SUFFIX_CLASSES)
-    v = lm_scoring.Vocabulary(words, counts, 126, 6, total, distinct)
+    """Also after training, for every context, and a group factor times an inner factor is what a plain sum over all classes gives."""
+    words = [b"the", b"of", b"\n", b"abc", b"abd", *(b"w%d" % k for k in range(60))]
+    counts = np.array([50, 40, 30, 9, 8, *([2] * 60)])
+    total, distinct = np.full(7, 3.0), np.full(7, 2.0)
+    v = lm_scoring.Vocabulary(words, counts, 257, 80, total, distinct)
     v.prepare()
+    assert v.own == 8 * 6 and len(v.class_counts) == 8 * 6 + 7
     model = lm_scoring.LogBilinear(v.class_counts, seed=1)
-    model.prepare()
-    table = model.normalisers()
+    rng = np.random.default_rng(5)
     classes = np.arange(len(v.class_counts))
-    for first, second in ((0, 1), (5, 255), (255, 255)):
-        logs = model.log10(classes, np.full(len(classes), first), np.full(len(classes), second), table)
-        assert abs((10.0**logs).sum() - 1) < 1e-4
+    for trained in (False, True):
+        if trained:
+            model.start_training(1)
+            seen = rng.integers(0, len(classes), 5000)
+            model.learn(seen, *v.contexts(seen))
+        model.prepare()
+        for first, second in ((0, 1), (5, 40), (v.start, v.start)):
+            logs = model.log10(classes, np.full(len(classes), first), np.full(len(classes), second))
+            assert abs((10.0**logs).sum() - 1) < 1e-4
+            r = model.near[first].astype(float) + model.far[second]
+            outer = model.part("g") @ np.append(r, 1)
+            inner = model.part("q") @ np.append(r, 1)
+            for c in (0, 13, len(classes) - 1):
+                g = c // model.size
+                mates = inner[g * model.size : (g + 1) * model.size]
+                plain = math.exp(outer[g]) / np.exp(outer).sum() * math.exp(inner[c]) / np.exp(mates).sum()
+                assert abs(10.0 ** logs[c] - plain) < 1e-5
     # inside a suffix class: known words, and one share for all unknown ones
     inside = [(c + 0.5) / (7 + 0.5 * (3 + 1)) for c in (4, 2, 1)] + [0.5 / (7 + 0.5 * (3 + 1))]
     assert abs(sum(inside) - 1) < 1e-9
 
 
+def test_lm_grows_with_its_text(spark):
+    """Classes, and with them contexts, follow the number of training tokens; every class has its row of parameters."""
+    sizes = []
+    for times in (1, 27):
+        table = spark.createDataFrame([(f"w{k}".encode(), times * 1000 // (k + 1) + 1) for k in range(1500)], "word binary, c long")
+        v = lm_scoring.vocabulary(table)
+        v.prepare()
+        model = lm_scoring.LogBilinear(v.class_counts)
+        assert len(model.part("q")) == len(v.class_counts) == v.own + v.suffixes and len(model.part("r")) == v.own + v.suffixes + 1
+        assert abs(v.counts[: v.own].sum() + v.suffix_total.sum() - v.total) < 1e-6
+        sizes.append(v.own)
+    assert 2.5 < sizes[1] / sizes[0] < 3.5
+
+
 def test_lm_learns_order(docs):
     """Words that follow each other are predicted better than by their frequency."""
     rng = random.Random(4)
