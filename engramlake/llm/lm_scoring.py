@@ -34,9 +34,9 @@ from engramlake.llm.store import keep
 OWN_WORDS = 8  # times the cube root of the training tokens
 DIM = 24
 NOISE = 32
-BATCH = 1024
-HELD_BATCHES = 64  # tokens are kept for so many batches, sorted by group for the inner factor
-RATE = 0.15
+BATCH = 2048
+HELD_BATCHES = 32  # tokens are kept for so many batches, sorted by group for the inner factor
+RATE = 0.25
 KNOWN_WORDS = 200_000
 HELD_OUT = 1
 END = b"\n"  # no word holds white space
@@ -324,8 +324,13 @@ def _scored(shared, weights):
         model.table = weights.value
         model.prepare()
         row = TaskContext.get().partitionId() << 33
+        def sums(held: list[tuple]) -> np.ndarray:
+            """Log probabilities of the classes of whole texts, in one go over all their tokens; no text is without a token."""
+            ends = np.cumsum([0, *(len(c) for c, _, _ in held)])[:-1]
+            return np.add.reduceat(model.log10(*(np.concatenate(c) for c in zip(*held, strict=True))), ends)
+
         for batch in batches:
-            out = []
+            out, held, scores, waiting = [], [], [], 0
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), _texts(batch), strict=True):
                 found = tokens(text)
                 places, classes = words.look_up(found)
@@ -334,12 +339,21 @@ def _scored(shared, weights):
                 missing = np.flatnonzero(~sure)
                 rare = Counter(found[k] for k in missing)
                 base = words.base[known].sum() - len(missing) * words.base_denominator
-                score = model.log10(classes, *words.contexts(classes)).sum() + words.inner[known].sum() - words.suffix_denominator[classes[missing] - words.own].sum()
-                out.append((row, doc_id, len(found), len(known), float(base), float(score), list(rare), list(rare.values())))
+                inner = words.inner[known].sum() - words.suffix_denominator[classes[missing] - words.own].sum()
+                out.append((row, doc_id, len(found), len(known), float(base), float(inner), list(rare), list(rare.values())))
                 row += 1
+                held.append((classes, *words.contexts(classes)))
+                waiting += len(classes)
+                if waiting >= HELD_BATCHES * BATCH:
+                    scores.append(sums(held))
+                    held, waiting = [], 0
+            if held:
+                scores.append(sums(held))
             names = ["row", "doc_id", "n_tokens", "n_sure", "base", "score", "rare", "times"]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
             columns = list(zip(*out, strict=True)) if out else [()] * len(names)
+            if scores:
+                columns[5] = np.array(columns[5]) + np.concatenate(scores)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return run
