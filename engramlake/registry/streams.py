@@ -8,10 +8,10 @@ from engramlake import hooks
 from engramlake.operators import retrieve
 from engramlake.registry.core import query
 from engramlake.registry.promotion import WORD
-from engramlake.registry.recall import text_index
+from engramlake.registry.recall import bm25_hits
 from engramlake.registry.rounds import fingerprint_sql
 from engramlake.registry.screening import CTES as SCREENING
-from engramlake.session import scratch_path
+from engramlake.session import scratch_path, written
 from engramlake.sources.captures import CAPTURE_FIELDS, split_captures
 from engramlake.sources.extractions import parse_extractions
 from engramlake.sources.sinks import read_regions
@@ -181,6 +181,7 @@ def _embed_text(t):
 
 @query("udf5_rerank")
 def _rerank(t):
-    hits = retrieve.bm25_search(t.recall_queries, text_index(t), 10).join(t.units.select("id", "content"), "id")
+    hits = bm25_hits(t).join(t.units.select("id", "content"), "id")
+    hits = written(hits, "hits-with-texts")
     kept, _ = retrieve.apply_rerank(hits, hooks.rerank_scores(t.recall_queries, hits))
     return kept.select("query_id", "id", "rank", "final_rank", F.round("rerank_score", 6).alias("rerank_score"))

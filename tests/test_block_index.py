@@ -103,3 +103,19 @@ def test_few_blocks_are_scored_for_few_hits(given, monkeypatch):
     reach = seen[0]
     floor = hits[0].score
     assert reach.count() > 4 * reach.filter(F.col("reach") >= floor).count()
+
+
+def test_build_shuffles_texts_once_and_search_no_single_scores(spark, tmp_path):
+    from engramlake.operators import retrieve
+
+    rows = [(f"u{n}", f"r{n % 3}", f"common word{n % 5} own{n} common") for n in range(300)]
+    units = spark.createDataFrame(rows, "id string, region_id string, content string")
+    queries = spark.createDataFrame([(f"q{n}", f"common own{n} word{n % 5}") for n in range(20)], "query_id string, query string")
+    index = build_block_index(units, str(tmp_path / "index"), 4, block_units=16).text_index
+    assert index.blocks is not None
+    hits = retrieve.bm25_search(queries, index, 5)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    grouped = next(line for line in plan.splitlines() if "Aggregate" in line and "query_id" in line)
+    assert "Aggregate [block#" in grouped
+    plain = retrieve.bm25_search(queries, retrieve.build_text_index(units), 5)
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, plain.select(*hits.columns).collect()))
