@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,8 @@ Classifier = Callable[[dict], dict]
 Embedder = Callable[[list[str]], list[list[float]]]
 Reranker = Callable[[str, list[str]], list[tuple[int, float]]]
 
+SLICE_ROWS = 256
+
 _PREFERENCE = re.compile(r"\bI prefer ([^.!?\n]+)")
 _STATEMENTS = (
     ("user", re.compile(r"\bI (?:prefer|always|never)\b", re.ASCII)),
@@ -70,19 +73,22 @@ def statement_classifier(context: dict) -> dict:
 def _map_json(df: DataFrame, input_col: str, fn: Callable[[dict], dict], out: str) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), T.StructField("error", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Python strings of a whole batch of long texts are several times its size, so only a slice is taken out at once.
+        for part in (batch.slice(at, SLICE_ROWS) for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS)):
             results, errors = [], []
-            for text in batch[input_col]:
+            for text in part.column(part.schema.get_field_index(input_col)).to_pylist():
                 try:
                     results.append(json.dumps(fn(json.loads(text)), ensure_ascii=False))
                     errors.append(None)
                 except Exception as error:  # one bad record must not fail its task
                     results.append(None)
                     errors.append(type(error).__name__)
-            yield batch.assign(**{out: results, "error": errors})
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array(results, pa.string()), pa.array(errors, pa.string())], names=[*part.schema.names, out, "error"]
+            )
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def extract_memories(requests: DataFrame, extractor: Extractor = preference_extractor) -> DataFrame:
