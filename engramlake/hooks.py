@@ -128,15 +128,20 @@ def hashing_embedder(dim: int) -> Embedder:
 
 
 def embed_text(df: DataFrame, col: str, dim: int, embedder: Embedder | None = None, out: str = "vector") -> DataFrame:
-    """Add one vector per row; a batch with a missing or ragged vector yields nulls."""
+    """Add one vector per row; the model sees slices of a batch, and a slice with a missing or ragged vector yields nulls."""
     model = embedder or hashing_embedder(dim)
+    kind = pa.list_(pa.float32())
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            vectors = model(batch.fillna("").tolist())
-            sound = len(vectors) == len(batch) and all(len(v) == dim for v in vectors)
-            yield pd.Series(vectors if sound else [None] * len(batch))
+            done = [pa.array([], kind)]
+            for at in range(0, len(batch), SLICE_ROWS):  # as in _map_json
+                texts = [text or "" for text in batch.slice(at, SLICE_ROWS).to_pylist()]
+                vectors = model(texts)
+                sound = len(vectors) == len(texts) and all(len(v) == dim for v in vectors)
+                done.append(pa.array(vectors if sound else [None] * len(texts), kind))
+            yield pa.concat_arrays(done)
 
     return df.withColumn(out, run(F.col(col)))
 
