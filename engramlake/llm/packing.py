@@ -112,7 +112,7 @@ def piece_batch(rows: list[tuple], sequences: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def _pack(path: str | None, window: int):
+def _pack(path: str | None, window: int, lasting: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = SquarePacker(window)
         number = TaskContext.get().partitionId() << 33
@@ -127,7 +127,7 @@ def _pack(path: str | None, window: int):
                     offset += len(ids)
                 number += 1
 
-        for doc_id, ids in encoded_rows(batches, path):
+        for doc_id, ids in encoded_rows(batches, path, lasting):
             emit(packer.add(doc_id, np.append(ids, np.uint32(END_ID))))
             if len(rows) >= OUTPUT_ROWS:
                 yield piece_batch(rows, number)
@@ -138,14 +138,15 @@ def _pack(path: str | None, window: int):
     return run
 
 
-def pack_sequences(documents: DataFrame, tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
+def pack_sequences(documents: DataFrame, tokenizer: str | None = None, window: int = WINDOW, lasting: bool = False) -> DataFrame:
     """One row per piece of every row of ``documents`` (doc_id long, text string).
 
     doc_id, start (ids of the document before the piece), length, ids (little-endian unsigned 32-bit),
     doc_tokens (with the end id), sequence_id (unique over all splits), offset (gapless from 0). Every
     id lies in exactly one piece and no sequence is longer than ``window``. A null text is empty and
     gives one end id; repeated rows are packed each; a null doc_id is kept as null; other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows. With ``lasting`` later tasks of a worker find the chunks of
+    earlier ones, for jobs that do nothing else with their workers.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_pack(tokenizer, window), SCHEMA)
+    return docs.mapInArrow(_pack(tokenizer, window, lasting), SCHEMA)

@@ -355,3 +355,12 @@ def test_exact_copies_of_many_groups_beside_a_hot_one(spark, monkeypatch):
     for k, t in rows:
         groups.setdefault(t, []).append(k)
     assert got == Counter((k, max(groups[t]), len(groups[t]), k == max(groups[t])) for k, t in rows)
+
+
+def test_lasting_chunks_change_no_piece(docs):
+    rows = corpus(11)
+    columns = ("doc_id", "start", "length", "ids", "doc_tokens", "offset")
+    once, lasting = (
+        sorted(tuple(r) for r in packing.pack_sequences(docs(rows).coalesce(1), lasting=kept).select(*columns).collect()) for kept in (False, True)
+    )
+    assert once == lasting
