@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from engramlake.hooks import Extractor, extract_entities, memory_context, name_extractor
 from engramlake.operators.entities import EntityGraph, eligible_memories, project
+from engramlake.session import written
 from engramlake.sources.extractions import parse_extractions
 from engramlake.sources.sinks import replace_regions
 
@@ -21,9 +22,11 @@ def projector(extractor: Extractor = name_extractor) -> Projector:
     """Project whole regions of published memories with the given entity hook."""
 
     def run(published: DataFrame) -> tuple[EntityGraph, DataFrame]:
-        eligible, _ = eligible_memories(published)
+        # Read by every step of the projection, so merged, judged and extracted once.
+        eligible = written(eligible_memories(published)[0], "eligible")
         contexts = eligible.select("region_id", "memory_id", memory_context(F.col("memory_id"), F.col("content")).alias("context"))
         parsed, _ = parse_extractions(extract_entities(contexts, extractor), "raw", "graph")
+        parsed = written(parsed.select("region_id", "memory_id", "entities", "relations"), "extractions")
         memories = eligible.select(
             "region_id", "memory_id", F.array("content").alias("texts"), F.array("region_name").alias("region_texts"),
             "source_references", "lifecycle", "updated_s",
@@ -31,7 +34,7 @@ def projector(extractor: Extractor = name_extractor) -> Projector:
         known = memories.limit(0).select(
             "region_id", *[F.lit("").alias(c) for c in ("entity_type", "normalized_alias", "entity_id")], F.lit(True).alias("canonical")
         )
-        return project(memories, parsed.select("region_id", "memory_id", "entities", "relations"), known)
+        return project(memories, parsed, known)
 
     return run
 
