@@ -227,5 +227,5 @@ def _find_drift(t):
 )
 def _repair_index(t):
     stale = t.units.filter((F.col("updated_s") % 4 != 0) | (F.col("lifecycle") != "active"))
-    old = retrieve.build_text_index(stale).postings
+    old = retrieve.build_text_index(repair.dealt_units(stale, t.units.count())).postings
     return repair.repair_index(t.units, old)
