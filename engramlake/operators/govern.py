@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 from engramlake.functions.hashing import joined_digest, keyed_digest
 from engramlake.functions.windows import mark_first, top_rows
 from engramlake.operators.filters import formal_visible
-from engramlake.session import cut_lineage
+from engramlake.session import cut_lineage, scratch_path
 
 MUTATIONS = ("supersede", "overwrite", "archive", "forget", "downweight", "purge")
 SUMMARY_CHARS = 160
+FEWEST_BUCKETS = 8
+BUCKET_UNITS = 10_000  # units whose ancestors share a bucket's size
 
 
 def revision_of(id_col: str = "id", version_col: str = "version", content_col: str = "content") -> Column:
@@ -330,22 +333,39 @@ def memory_detail(units: DataFrame, captures: DataFrame, ids: DataFrame) -> Data
     )
 
 
+def _dealt(df: DataFrame, buckets: int, keys: list[str], path: str, name: str, by: str | None = None) -> DataFrame:
+    """``df`` added to the table ``name`` in ``path``: one file a bucket of ``keys``, so joins on them do not shuffle it."""
+    writer = df.write.mode("append").format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, *keys)
+    (writer.partitionBy(by) if by else writer).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def provenance_closure(units: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """Every ancestor of each unit through provenance, with its smallest depth."""
-    parents = units.select("id", F.explode("provenance").alias("ancestor_id")).distinct()
-    start = parents if ids is None else parents.join(ids.select("id"), "id", "left_semi")
-    frontier = cut_lineage(start.filter(F.col("id") != F.col("ancestor_id")).withColumn("depth", F.lit(1)))
-    closure, depth = frontier, 1
-    step = parents.select(F.col("id").alias("ancestor_id"), F.col("ancestor_id").alias("next_id"))
-    while not frontier.isEmpty():
-        depth += 1
-        found = (
-            frontier.join(step, "ancestor_id")
-            .select("id", F.col("next_id").alias("ancestor_id"))
-            .filter(F.col("id") != F.col("ancestor_id"))
-            .distinct()
-            .join(closure.select("id", "ancestor_id"), ["id", "ancestor_id"], "left_anti")
-        )
-        frontier = cut_lineage(found.withColumn("depth", F.lit(depth)))
-        closure = closure.unionByName(frontier)
-    return closure
+    """Every ancestor of each unit through provenance, with its smallest depth.
+
+    All pairs found lie in one table by bucket of (id, ancestor_id): a round shuffles the pairs of the round before, to their
+    ancestor's parents, and what they lead to, to its bucket, but never the pairs of all rounds.
+    """
+    spark, pair = units.sparkSession, ["id", "ancestor_id"]
+    buckets = FEWEST_BUCKETS + units.count() // BUCKET_UNITS
+    paths = {k: scratch_path(spark, k) for k in ("parents", "closure")}
+    tables = {k: f"engramlake_{k}_{uuid.uuid4().hex}" for k in paths}
+    linked = units.select("id", F.explode("provenance").alias("ancestor_id")).filter(F.col("id") != F.col("ancestor_id")).repartition(buckets, "id").distinct()
+    try:
+        parents = _dealt(linked, buckets, ["id"], paths["parents"], tables["parents"])
+        step = parents.select(F.col("id").alias("ancestor_id"), F.col("ancestor_id").alias("next_id"))
+        start = parents if ids is None else parents.join(ids.select("id"), "id", "left_semi")
+        found, depth = start.repartition(buckets, *pair), 1
+        while True:
+            closure = _dealt(found.withColumn("depth", F.lit(depth)), buckets, pair, paths["closure"], tables["closure"], by="depth")
+            frontier = closure.filter(F.col("depth") == depth).select(*pair)
+            if frontier.isEmpty():
+                break
+            ahead = frontier.join(step, "ancestor_id").select("id", F.col("next_id").alias("ancestor_id")).filter(F.col("id") != F.col("ancestor_id"))
+            found = ahead.repartition(buckets, *pair).distinct().join(closure.select(*pair), pair, "left_anti")
+            depth += 1
+        kind = closure.select(*pair, "depth").schema
+    finally:
+        for name in tables.values():
+            spark.sql(f"DROP TABLE IF EXISTS {name}")  # the files stay, as those of other intermediate tables
+    return spark.read.schema(kind).parquet(paths["closure"])
