@@ -21,6 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,54 +30,66 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engramlake.llm.store import keep
+from engramlake.llm.shingles import slices
+from engramlake.llm.store import hold_memory, keep, releasing
 
 OWN_WORDS = 8  # times the cube root of the training tokens
 DIM = 24
 NOISE = 32
 BATCH = 2048
+CACHED_ROWS = 1024
 HELD_BATCHES = 32  # tokens are kept for so many batches, sorted by group for the inner factor
 RATE = 0.25
 KNOWN_WORDS = 200_000
 HELD_OUT = 1
 END = b"\n"  # no word holds white space
-COUNT_FLUSH = 300_000
-TEXT_BYTES = 4 << 20
+COUNT_BYTES = 8 << 20
 
 VALUES = [f"v{k}" for k in range(DIM + 1)]
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
+@dataclass
+class Tokens:
+    """Tokens of some texts, the words of each text followed by its end."""
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words of a text, then its end."""
-    found = text.translate(_LOWER).split()
-    found.append(END)
-    return found
+    words: pa.Array  # distinct, the end among them
+    codes: np.ndarray  # the place in ``words`` of every token
+    ends: np.ndarray  # for every text: tokens up to its end
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.concatenate([[0], self.ends[:-1]])
+
+
+def tokens(texts: pa.Array) -> Tokens:
+    """Of a large_binary array without nulls; no Python object is made."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.large_string())))
+    coded = parts.flatten().dictionary_encode()
+    found = coded.dictionary.view(pa.large_binary())
+    codes, sizes = coded.indices.to_numpy(), pc.list_value_length(parts).to_numpy()
+    empty = pc.index(found, pa.scalar(b"", found.type)).as_py()
+    if empty >= 0:  # beside white space at either end of a text
+        filled = codes != empty
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[filled], minlength=len(sizes))
+        codes = codes[filled]
+    ends = np.cumsum(sizes + 1, dtype=np.int64)
+    placed = np.full(len(codes) + len(sizes), len(found), np.int64)
+    inside = np.ones(len(placed), bool)
+    inside[ends - 1] = False
+    placed[inside] = codes
+    return Tokens(pa.concat_arrays([found, pa.array([END], found.type)]), placed, ends)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == HELD_OUT, F.lit(False))
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
-    for text in pc.fill_null(batch.column("text").cast(pa.large_binary()), b""):
-        yield text.as_py()
-
-
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
-
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
-
     for batch in batches:
-        for text in _texts(batch):
-            counts.update(tokens(text))
-            if len(counts) > COUNT_FLUSH:
-                yield out()
-                counts.clear()
-    yield out()
+        for _, texts in slices(batch.column("text"), COUNT_BYTES):
+            found = tokens(texts)
+            c = np.bincount(found.codes, minlength=len(found.words))
+            yield pa.RecordBatch.from_arrays([found.words.cast(pa.binary()), pa.array(c)], ["word", "c"]).filter(pa.array(c > 0))
 
 
 def cube_root(n: int) -> int:
@@ -117,30 +130,61 @@ class Vocabulary:
         self.start = len(self.class_counts)
 
     def look_up(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the table or -1, class) of every token."""
-        get = self.place.get
-        places = np.fromiter((get(w, -1) for w in found), np.int64, len(found))
+        """(place in the table or -1, class) of every word."""
+        places = np.fromiter(map(self.place.get, found, repeat(-1)), np.int64, len(found))
         classes = self.cls[places] if len(self.cls) else np.zeros(len(found), np.int64)
         for k in np.flatnonzero(places < 0):
             classes[k] = self.own + suffix_class(found[k], self.suffixes)
         return places, classes
 
-    def contexts(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Classes of the token before and of the one before that, within one text."""
+    def contexts(self, classes: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Classes of the token before and of the one before that, within one text each; ``starts`` of the texts, else it is one."""
         before = np.concatenate([[self.start, self.start], classes])
-        return before[1:-1], before[:-2]
+        first, second = before[1:-1].copy(), before[:-2].copy()
+        if starts is not None:
+            first[starts] = second[starts] = self.start
+            second[starts[starts + 1 < len(second)] + 1] = self.start
+        return first, second
+
+    def columns(self, found: Tokens) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in the table or -1 of every distinct word, class and both contexts of every token)."""
+        places, classes = self.look_up(found.words.to_numpy(zero_copy_only=False).tolist())  # some times faster than to_pylist
+        classes = classes[found.codes]
+        return places, (classes, *self.contexts(classes, found.starts))
+
+
+def _order(index: np.ndarray) -> np.ndarray:
+    """Stable order of whole numbers from 0; those of 16 bits are sorted by digits, several times faster."""
+    small = len(index) and index.max() < 1 << 16
+    return np.argsort(index.astype(np.uint16) if small else index, kind="stable")
 
 
 def _scatter(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(index, kind="stable")
+    order = _order(index)
     index = index[order]
     heads = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    return index[heads], np.add.reduceat(values[order], heads, axis=0)
+    return index[heads], np.add.reduceat(values.take(order, axis=0), heads, axis=0)
 
 
-def _log_sums(logits: np.ndarray) -> np.ndarray:
-    top = logits.max(1)
-    return top + np.log(np.exp(logits - top[:, None]).sum(1))
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)), in place of x."""
+    np.clip(x, -30, 30, out=x)
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.divide(1, x, out=x)
+
+
+def _log_probabilities(r: np.ndarray, outer: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log of the share of each row's ``own`` outer row; few rows at once, so what lies between stays in the cache."""
+    out, at_bias, rows = np.empty(len(r), np.float32), outer[:, -1], outer[:, :-1].T
+    for at in range(0, len(r), CACHED_ROWS):
+        logits = r[at : at + CACHED_ROWS] @ rows
+        logits += at_bias
+        found = logits[np.arange(len(logits)), own[at : at + CACHED_ROWS]]
+        top = logits.max(1)
+        logits -= top[:, None]
+        out[at : at + CACHED_ROWS] = found - (top + np.log(np.exp(logits, out=logits).sum(1)))
+    return out
 
 
 class LogBilinear:
@@ -179,10 +223,13 @@ class LogBilinear:
         self.met = np.zeros(len(self.table), np.float64)
         self.cumulative = {k: np.cumsum(np.exp(self.noise[k].astype(np.float64))) for k in self.noise}
 
-    def _step(self, name: str, rows: np.ndarray, grad: np.ndarray) -> None:
-        rows = rows + self.rows[name].start
-        self.squares[rows, : grad.shape[1]] += grad**2
-        self.table[rows, : grad.shape[1]] -= RATE * grad / np.sqrt(self.squares[rows, : grad.shape[1]])
+    def _step(self, name: str, rows: np.ndarray | None, grad: np.ndarray) -> None:
+        """Gradients of some rows, else of all of the part; of all columns, or of all but the bias."""
+        wide, at = grad.shape[1], self.rows[name] if rows is None else rows + self.rows[name].start
+        squares = self.squares[at, :wide]
+        squares += grad * grad
+        self.squares[at, :wide] = squares
+        self.table[at, :wide] -= RATE * grad / np.sqrt(squares)
 
     def _draw(self, name: str, first: int, end: int) -> np.ndarray:
         steps = self.cumulative[name]
@@ -193,22 +240,33 @@ class LogBilinear:
     def _contrast(self, name: str, true: np.ndarray, noise: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
         """One batch: true rows of a part against noise rows drawn for the whole batch."""
         outer, c1, c2 = self.part(name), self.part("c1")[:, :-1], self.part("c2")[:, :-1]
-        left, right = self.part("r")[first, :-1], self.part("r")[second, :-1]
-        r = left @ c1 + right @ c2
-        q, qn, log_noise = outer[true], outer[noise], self.noise[name] + np.float32(np.log(NOISE))
-        size = np.float32(len(true))
+        left, right = (self.part("r").take(k, axis=0)[:, :-1] for k in (first, second))
+        r = left @ c1
+        r += right @ c2
+        q, qn, log_noise = outer.take(true, axis=0), outer.take(noise, axis=0), self.noise[name] + np.float32(np.log(NOISE))
+        size, n = np.float32(len(true)), len(true)
         above = (r * q[:, :-1]).sum(1) + q[:, -1] - log_noise[true]
-        false = r @ qn[:, :-1].T + qn[:, -1] - log_noise[noise]
-        gt = (-1 / (1 + np.exp(np.clip(above, -30, 30))) / size).astype(np.float32)
-        gf = (1 / (1 + np.exp(-np.clip(false, -30, 30))) / size).astype(np.float32)
-        dr = gt[:, None] * q[:, :-1] + gf @ qn[:, :-1]
+        false = r @ qn[:, :-1].T
+        false += qn[:, -1]
+        false -= log_noise[noise]
+        gt = _sigmoid(-above) / -size
+        gf = _sigmoid(false)
+        gf /= size
+        dr = gf @ qn[:, :-1]
+        dr += gt[:, None] * q[:, :-1]
         d1, d2 = left.T @ dr, right.T @ dr
-        rows, grads = _scatter(np.concatenate([first, second]), np.concatenate([dr @ c1.T, dr @ c2.T]))
-        index = np.concatenate([true, noise])
-        places, dq = _scatter(index, np.concatenate([np.column_stack([gt[:, None] * r, gt]), np.column_stack([gf.T @ r, gf.sum(0)])]))
+        both = np.empty((2 * n, DIM), np.float32)
+        np.matmul(dr, c1.T, out=both[:n])
+        np.matmul(dr, c2.T, out=both[n:])
+        rows, grads = _scatter(np.concatenate([first, second]), both)
+        outers = np.empty((n + len(noise), DIM + 1), np.float32)
+        np.multiply(gt[:, None], r, out=outers[:n, :-1])
+        outers[:n, -1] = gt
+        outers[n:, :-1], outers[n:, -1] = gf.T @ r, gf.sum(0)
+        places, dq = _scatter(np.concatenate([true, noise]), outers)
         self._step("r", rows, grads)
-        self._step("c1", np.arange(DIM), d1)
-        self._step("c2", np.arange(DIM), d2)
+        self._step("c1", None, d1)
+        self._step("c2", None, d2)
         self._step(name, places, dq)
 
     def _meet(self, name: str, index: np.ndarray) -> None:
@@ -221,7 +279,7 @@ class LogBilinear:
         for at in range(0, len(classes), BATCH):
             part = slice(at, at + BATCH)
             self._contrast("g", groups[part], self._draw("g", 0, len(self.group_start)), first[part], second[part])
-        order = np.argsort(groups, kind="stable")
+        order = _order(groups)
         bounds = np.searchsorted(groups[order], np.arange(len(self.group_start) + 1))
         batches = [(g, at, min(at + BATCH, bounds[g + 1])) for g in range(len(self.group_start)) for at in range(bounds[g], bounds[g + 1], BATCH)]
         for k in self.rng.permutation(len(batches)):
@@ -244,17 +302,15 @@ class LogBilinear:
         g, q = self.part("g"), self.part("q")
         for at in range(0, len(classes), HELD_BATCHES * BATCH):
             part = slice(at, at + HELD_BATCHES * BATCH)
-            r, own = self.near[first[part]] + self.far[second[part]], classes[part]
+            r, own = self.near.take(first[part], axis=0), classes[part]
+            r += self.far.take(second[part], axis=0)
             groups = own // self.size
-            logits = r @ g[:, :-1].T + g[:, -1]
-            logs = logits[np.arange(len(own)), groups] - _log_sums(logits)
-            order = np.argsort(groups, kind="stable")
+            logs = _log_probabilities(r, g, groups)
+            order = _order(groups)
             bounds = np.searchsorted(groups[order], np.arange(len(self.group_start) + 1))
             for k in np.flatnonzero(np.diff(bounds)):
                 rows, begin = order[bounds[k] : bounds[k + 1]], self.group_start[k]
-                members = q[begin : begin + self.size]
-                logits = r[rows] @ members[:, :-1].T + members[:, -1]
-                logs[rows] += logits[np.arange(len(rows)), own[rows] - begin] - _log_sums(logits)
+                logs[rows] += _log_probabilities(r.take(rows, axis=0), q[begin : begin + self.size], own[rows] - begin)
             out[part] = logs / np.log(10)
         return out
 
@@ -286,6 +342,7 @@ def vocabulary(counts: DataFrame, known_words: int = KNOWN_WORDS) -> Vocabulary:
 
 def _trained(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_memory()
         words: Vocabulary = shared.value
         words.prepare()
         model = LogBilinear(words.class_counts)
@@ -301,62 +358,58 @@ def _trained(shared):
             held, waiting = [], 0
 
         for batch in batches:
-            for text in _texts(batch):
-                _, classes = words.look_up(tokens(text))
-                held.append((classes, *words.contexts(classes)))
-                waiting += len(classes)
-                if waiting >= HELD_BATCHES * BATCH:
-                    learn()
+            for _, texts in slices(batch.column("text")):
+                found = tokens(texts)
+                _, columns = words.columns(found)
+                begin = 0
+                while begin < len(found.codes):  # whole texts, until enough tokens wait
+                    k = np.searchsorted(found.ends, begin + HELD_BATCHES * BATCH - waiting)
+                    end = found.ends[min(k, len(found.ends) - 1)]
+                    held.append(tuple(c[begin:end] for c in columns))
+                    waiting += end - begin
+                    begin = end
+                    if waiting >= HELD_BATCHES * BATCH:
+                        learn()
         if waiting:
             learn()
         rows = np.flatnonzero(model.met)
         values = model.table[rows].astype(np.float64) * model.met[rows, None]
         yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(model.met[rows]), *(pa.array(values[:, k]) for k in range(DIM + 1))], ["at", "n", *VALUES])
 
-    return run
+    return releasing(run)
 
 
 def _scored(shared, weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_memory()
         words: Vocabulary = shared.value
         words.prepare()
         model = LogBilinear(words.class_counts)
         model.table = weights.value
         model.prepare()
         row = TaskContext.get().partitionId() << 33
-        def sums(held: list[tuple]) -> np.ndarray:
-            """Log probabilities of the classes of whole texts, in one go over all their tokens; no text is without a token."""
-            ends = np.cumsum([0, *(len(c) for c, _, _ in held)])[:-1]
-            return np.add.reduceat(model.log10(*(np.concatenate(c) for c in zip(*held, strict=True))), ends)
-
+        kinds = {"row": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "n_sure": pa.int64(), "base": pa.float64(), "score": pa.float64()}
         for batch in batches:
-            out, held, scores, waiting = [], [], [], 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), _texts(batch), strict=True):
-                found = tokens(text)
-                places, classes = words.look_up(found)
+            for at, texts in slices(batch.column("text")):
+                found = tokens(texts)
+                places, columns = words.columns(found)
                 sure = places >= 0
-                known = places[sure]
-                missing = np.flatnonzero(~sure)
-                rare = Counter(found[k] for k in missing)
-                base = words.base[known].sum() - len(missing) * words.base_denominator
-                inner = words.inner[known].sum() - words.suffix_denominator[classes[missing] - words.own].sum()
-                out.append((row, doc_id, len(found), len(known), float(base), float(inner), list(rare), list(rare.values())))
-                row += 1
-                held.append((classes, *words.contexts(classes)))
-                waiting += len(classes)
-                if waiting >= HELD_BATCHES * BATCH:
-                    scores.append(sums(held))
-                    held, waiting = [], 0
-            if held:
-                scores.append(sums(held))
-            names = ["row", "doc_id", "n_tokens", "n_sure", "base", "score", "rare", "times"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            columns = list(zip(*out, strict=True)) if out else [()] * len(names)
-            if scores:
-                columns[5] = np.array(columns[5]) + np.concatenate(scores)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    return run
+                base, inner = np.full(len(places), -words.base_denominator), np.zeros(len(places))
+                base[sure], inner[sure] = words.base[places[sure]], words.inner[places[sure]]
+                for k in np.flatnonzero(~sure):
+                    inner[k] = -words.suffix_denominator[suffix_class(found.words[k].as_py(), words.suffixes)]
+                texts_of = np.repeat(np.arange(len(texts)), np.diff(found.ends, prepend=0))
+                sums = [np.add.reduceat(v, found.starts) for v in (sure[found.codes].astype(np.int64), base[found.codes], inner[found.codes] + model.log10(*columns))]
+                rare, times = np.unique((texts_of * len(places) + found.codes)[~sure[found.codes]], return_counts=True)
+                offsets = pa.array(np.searchsorted(rare // len(places), np.arange(len(texts) + 1)), pa.int32())
+                rows = np.arange(row, row + len(texts))
+                row += len(texts)
+                out = [pa.array(rows), batch.column("doc_id").slice(at, len(texts)), pa.array(np.diff(found.ends, prepend=0)), *map(pa.array, sums)]
+                out = [c.cast(kind) for c, kind in zip(out, kinds.values(), strict=True)]
+                lists = (found.words.take(pa.array(rare % len(places))).cast(pa.binary()), pa.array(times, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*out, *(pa.ListArray.from_arrays(offsets, c) for c in lists)], [*kinds, "rare", "times"])
+
+    return releasing(run)
 
 
 def score_texts(documents: DataFrame, known_words: int = KNOWN_WORDS) -> DataFrame:
