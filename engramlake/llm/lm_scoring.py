@@ -146,11 +146,11 @@ class Vocabulary:
             second[starts[starts + 1 < len(second)] + 1] = self.start
         return first, second
 
-    def columns(self, found: Tokens) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(place in the table or -1 of every distinct word, class and both contexts of every token)."""
+    def columns(self, found: Tokens) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in the table or -1, class) of every distinct word, and (class, both contexts) of every token."""
         places, classes = self.look_up(found.words.to_numpy(zero_copy_only=False).tolist())  # some times faster than to_pylist
-        classes = classes[found.codes]
-        return places, (classes, *self.contexts(classes, found.starts))
+        each = classes[found.codes]
+        return places, classes, (each, *self.contexts(each, found.starts))
 
 
 def _order(index: np.ndarray) -> np.ndarray:
@@ -360,7 +360,7 @@ def _trained(shared):
         for batch in batches:
             for _, texts in slices(batch.column("text")):
                 found = tokens(texts)
-                _, columns = words.columns(found)
+                _, _, columns = words.columns(found)
                 begin = 0
                 while begin < len(found.codes):  # whole texts, until enough tokens wait
                     k = np.searchsorted(found.ends, begin + HELD_BATCHES * BATCH - waiting)
@@ -392,12 +392,11 @@ def _scored(shared, weights):
         for batch in batches:
             for at, texts in slices(batch.column("text")):
                 found = tokens(texts)
-                places, columns = words.columns(found)
+                places, classes, columns = words.columns(found)
                 sure = places >= 0
-                base, inner = np.full(len(places), -words.base_denominator), np.zeros(len(places))
+                base, inner = np.full(len(places), -words.base_denominator), np.empty(len(places))
                 base[sure], inner[sure] = words.base[places[sure]], words.inner[places[sure]]
-                for k in np.flatnonzero(~sure):
-                    inner[k] = -words.suffix_denominator[suffix_class(found.words[k].as_py(), words.suffixes)]
+                inner[~sure] = -words.suffix_denominator[classes[~sure] - words.own]
                 texts_of = np.repeat(np.arange(len(texts)), np.diff(found.ends, prepend=0))
                 sums = [np.add.reduceat(v, found.starts) for v in (sure[found.codes].astype(np.int64), base[found.codes], inner[found.codes] + model.log10(*columns))]
                 rare, times = np.unique((texts_of * len(places) + found.codes)[~sure[found.codes]], return_counts=True)
